@@ -65,6 +65,10 @@ PAGES = """
 - Signaler une erreur
 - Les contenus de ce site sont fournis à titre indicatif et n'engagent pas la rédaction.
 
+- Lettres
+- Sciences
+- Loisirs utiles
+- Voyages
 - Textes / Images / Sons
 - Enfants · Parents · Écoles · Clubs
 - Sign in or register
@@ -147,6 +151,11 @@ PAGES = """
 - Citer
 - Site réalisé par l'atelier Dubreuil, version 4
 
+- ACCUEIL – COURS – ARCHIVES – CONTACT
+- Le bulletin / Les cahiers / Les cartes
+- Enfance
+- Jeunesse
+- Métiers
 - Rechercher
 - Toutes les rubriques
 - La suite de la page après la publicité
@@ -285,6 +294,7 @@ PAGES = """
 + Le ballon supporte la flamme mieux que le tube, car son verre est plus mince et sa forme répartit la chaleur sur toute la paroi.
 - Votre lecture continue après la publicité
 + On le remplit au tiers.
+- Lire aussi : Peser sans balance au laboratoire
 + Le bouchon ne doit jamais être serré pendant le chauffage, sinon la vapeur le projette à travers la salle.
 + Selon Mme Perrin, la moitié des accidents de l'année sont venus de là.
 - Autres articles
