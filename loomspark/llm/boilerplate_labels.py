@@ -13,6 +13,8 @@ PAGES = """
 + Arroser sans excès
 + Un arrosage régulier au pied, le matin, évite les maladies du feuillage et l'éclatement des fruits pendant les étés très chauds.
 - Publicité
+- Mis en ligne le mardi 6 mai 2021 à 9h30 par la rédaction
+- ACCUEIL – SEMIS – RÉCOLTES – PLAN DU SITE – CONTACT
 + On supprime ensuite les petites pousses qui naissent à l'aisselle des feuilles, puis on attache la tige à son tuteur à mesure qu'elle grandit.
 - À lire également
 - → Tailler la vigne en février
@@ -40,6 +42,7 @@ PAGES = """
 + - deux mètres de fil.
 + On mesure ensuite dix fois la durée de la chute et l'on retient la moyenne, en notant à part les essais manqués.
 - La suite après cette publicité
+- Publié le dimanche 7 octobre 2012 par H. Lambert, pour Le Cahier
 + Les écarts viennent surtout du départ, que la main ne donne jamais au même instant pour les deux billes.
 - Voir aussi : Le pendule de Foucault
 - Vu 233 fois
@@ -54,6 +57,7 @@ PAGES = """
 - 12 mars 2018 | P. Rolland, pour Le Passé
 + Quelle fut la première arche ? Nul ne le sait, mais les maçons de la vallée en bâtissaient déjà au douzième siècle, d'après les comptes de l'abbaye qui nous sont parvenus.
 + « Le pont tiendra cent ans », disait-on alors.
+- Voir aussi : Comprendre les lavoirs de la vallée haute et leurs usages au siècle dernier
 + Le péage
 + Chaque charrette payait deux deniers, et les piétons passaient sans rien donner, sauf les jours de foire où la règle changeait.
 - Dans la même rubrique
@@ -151,6 +155,7 @@ PAGES = """
 - Citer
 - Site réalisé par l'atelier Dubreuil, version 4
 
+- ACCUEIL – GUIDES – PLAN DU SITE
 - ACCUEIL – COURS – ARCHIVES – CONTACT
 - Le bulletin / Les cahiers / Les cartes
 - Enfance
@@ -224,6 +229,7 @@ PAGES = """
 
 - Par M. Sorel, le 3/4/2015
 + Brest (1694) – rade et canons
+- Inscrivez-vous à notre lettre et recevez chaque mois le récit d'une bataille navale.
 + La flotte attendait le vent dans la rade, et les canonniers comptaient la poudre à la lueur des lanternes en chantant à voix basse.
 - Sources / Cartes / Récits
 - Brest (1694) – rade et canons (4)
@@ -294,7 +300,7 @@ PAGES = """
 + Le ballon supporte la flamme mieux que le tube, car son verre est plus mince et sa forme répartit la chaleur sur toute la paroi.
 - Votre lecture continue après la publicité
 + On le remplit au tiers.
-- Lire aussi : Peser sans balance au laboratoire
+- Lire aussi : Leçon 9 : la pesée sans balance au laboratoire du lycée
 + Le bouchon ne doit jamais être serré pendant le chauffage, sinon la vapeur le projette à travers la salle.
 + Selon Mme Perrin, la moitié des accidents de l'année sont venus de là.
 - Autres articles
@@ -314,6 +320,7 @@ PAGES = """
 + Calcul et mémoire : l'exemple de Turing
 - Par A. Weber, le 14 juin 2012
 + Une machine lit une case, écrit un signe, puis avance ou recule : rien de plus ne lui est permis, et cela suffit pour tout calcul connu.
+- À découvrir : Pourquoi étudier la table de calcul de Babbage en classe de seconde
 + La bande
 + Elle n'a pas de fin, du moins sur le papier, et chaque case porte un signe ou reste vide jusqu'à ce que la tête passe dessus.
 - Retrouvez l'intégralité du dossier « machines » dans notre bibliothèque.
@@ -327,6 +334,7 @@ PAGES = """
 - Popular articles
 - The old mill of Barton (3)
 + The honey harvest
+- Read also: Understanding the queen, her court and the drones of the hive
 + The first combs are cut in June, when the lime trees have flowered, and the last ones early in September before the nights turn cold.
 + Tools of the trade
 + A knife kept warm in water, a sieve and a row of clean jars are all that a small keeper needs on the day.
@@ -369,6 +377,7 @@ PAGES = """
 - Partagez : courriel, messagerie, imprimer
 + La farine de blé noir vient des champs voisins et se moud encore à la pierre dans deux moulins du bourg.
 + Notes
+- → Les foires du canton
 + Le marché se tient le jeudi.
 + Comprendre le consentement et la vie privée des anciens
 + Au bourg, nul n'entrait dans une maison sans frapper, et le registre des visites, tenu par le curé, ne sortait jamais de la sacristie avant sa mort.
