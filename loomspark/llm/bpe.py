@@ -46,6 +46,7 @@ class ByteBPE:
         self.longest = max(map(len, self.ranks))
         self.size = max(self.token) + 1
         self.words: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.split = regex.compile(WORD_PATTERN).findall
