@@ -63,8 +63,6 @@ _DOTTED = re.compile(r"(?:[^\W\d_]{1,3}[.\-]+)+[^\W\d_]{1,3}$")
 _THAI_GAP = re.compile("(?<=[ก-๏])\\s+(?=[ก-๏])")
 _THAI = re.compile("[ก-๏]")
 _STRIP = "«»“”„\"'()[]「」『』（）,;:!?…¿¡*-–—"
-_AFTER_END = re.compile(f"[^\\W\\d_]{{2,}}(?:[.!?…]+)[{_CLOSERS}]*(?:\\[\\d+\\])?\\s+[{_OPENERS}\\s]*([^\\W\\d_]+['’]?)")
-_DOT = re.compile(f"(?<!\\S)[{_OPENERS}]*([^\\s{_OPENERS}{_CLOSERS}]{{0,10}}['’])?([^\\s{_OPENERS}{_CLOSERS}.]{{1,8}}(?:\\.[^\\W\\d_]+)*)\\.([,;:)\\]]|\\s+[{_OPENERS}]*([^\\W\\d_]+['’]?|\\d))")
 
 
 def language(text: str) -> str:
@@ -74,9 +72,11 @@ def language(text: str) -> str:
         n, best = max(found)
         if n * 3 > len(text.replace(" ", "")):
             return "ja" if best == "zh" and dict((k, c) for c, k in found)["ja"] * 10 > n else best
-    words = Counter(text.lower().split())
-    score = {k: sum(words[w] for w in s) for k, s in _FUNCTION_SETS.items()}
+    words = set(text.split())
+    score = {k: len(f & words) for k, f in _FUNCTION_SETS.items()}
     best = max(score, key=lambda k: (score[k], k))
+    if not score[best] and text.isupper():
+        return language(text.lower())
     return best if score[best] else "xx"
 
 
@@ -84,42 +84,71 @@ def _letter(ch: str) -> bool:
     return ch.isalpha() or "\u0900" <= ch <= "\u0dff"
 
 
-def _count(text: str, lang: str, c: Counter) -> None:
-    """Add a text's evidence, by kind.
+_LAST = frozenset(".!?…»”\"“’')]」』؟।。！？")
 
-    w, d: uses of a type without and with a period; C, S: capitalised uses, uses at a start;
-    n, g: periods before a small letter or a sign, before a digit; 2: type, period, capitalised word.
-    """
-    for token, n in Counter(text.split()).items():
-        core = token.strip(_STRIP)
-        if not core or len(core) > 40:
-            continue
-        head = _ELISION.match(core)
-        if head:
-            c[lang, "w", head.group().lower()] += n
-            if core[0].isupper():
-                c[lang, "C", head.group().lower()] += n
-            core = core[head.end() :]
-        bare = core.rstrip(".")
-        if bare and _letter(bare[0]):
-            c[lang, "d" if bare != core else "w", bare.lower()] += n
-            if bare[0].isupper() and not head:
-                c[lang, "C", bare.lower()] += n
-    for w in _AFTER_END.findall(text):
-        if w[0].isupper():
-            c[lang, "S", w.lower()] += 1
-    for block in _BLANK.split(text):
-        m = _WORD.match(block.strip())
-        if m and m.group()[0].isupper():
-            c[lang, "S", m.group().lower()] += 1
-    for _, a, tail, b in _DOT.findall(text):
-        a = a.lower()
-        if not b or b[0].islower():
-            c[lang, "n", a] += 1
-        elif b[0].isdigit():
-            c[lang, "g", a] += 1
-        elif b[0].isupper():
-            c[lang, "2", f"{a} {b.lower()}"] += 1
+
+class _Tally:
+    """Counts of one language in one task: tokens, pairs of a token that may end a sentence and the next, first tokens of blocks."""
+
+    def __init__(self):
+        self.tokens: Counter = Counter()
+        self.pairs: Counter = Counter()
+        self.firsts: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        tokens = text.split()
+        self.tokens.update(tokens)
+        self.pairs.update([(a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] in _LAST])
+        self.firsts.update([block.split(None, 1)[0] for block in _BLANK.split(text) if not block.isspace() and block])
+
+    def counts(self, lang: str) -> Counter:
+        """By kind: w, d: uses of a type without and with a period; C, S: capitalised uses, uses at a start;
+        n, g: periods before a small letter or a sign, before a digit; 2: type, period, capitalised word."""
+        c: Counter = Counter()
+        for token, n in self.tokens.items():
+            core = token.strip(_STRIP)
+            if not core or len(core) > 40:
+                continue
+            head = _ELISION.match(core)
+            if head:
+                c[lang, "w", head.group().lower()] += n
+                if core[0].isupper():
+                    c[lang, "C", head.group().lower()] += n
+                core = core[head.end() :]
+            bare = core.rstrip(".")
+            if bare and _letter(bare[0]):
+                low = bare.lower()
+                c[lang, "d" if bare != core else "w", low] += n
+                if bare[0].isupper() and not head:
+                    c[lang, "C", low] += n
+                if bare != core and token[-1] in ",;:":
+                    c[lang, "n", low] += n
+        for (a, b), n in self.pairs.items():
+            end = a.rstrip("»”\"“’')]」』")
+            if not end or end[-1] not in ".!?…":
+                continue
+            core = end.strip(_STRIP)
+            head = _ELISION.match(core)
+            bare = (core[head.end() :] if head else core).rstrip(".")
+            nxt = b.lstrip("«“„\"'([「『¿¡‘")
+            m = _WORD.match(nxt)
+            initial = m and len(m.group()) == 1 and nxt[1:2] in (".", "-")
+            if m and m.group()[0].isupper() and not initial and (end[-1] != "." or len(bare) > 1 and _letter(bare[-1])):
+                c[lang, "S", m.group().lower()] += n
+            if end[-1] != "." or end.endswith("..") or a != end and a[-1] != ")" or not 0 < len(bare) <= 8 or not _letter(bare[-1]):
+                continue
+            low = bare.lower()
+            if nxt and nxt[0].isdigit():
+                c[lang, "g", low] += n
+            elif m and nxt[0].islower():
+                c[lang, "n", low] += n
+            elif m and nxt[0].isupper():
+                c[lang, "2", f"{low} {m.group().lower()}"] += n
+        for token, n in self.firsts.items():
+            m = _WORD.match(token.lstrip("«“„\"'([「『¿¡‘"))
+            if m and m.group()[0].isupper():
+                c[lang, "S", m.group().lower()] += n
+        return c
 
 
 _COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
@@ -129,23 +158,28 @@ def boundary_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(lang, kind, key, n) over all texts; partial sums are made in each task before the shuffle."""
     ship(df.sparkSession)
 
-    def flush(c: Counter) -> pa.RecordBatch:
+    def flush(tallies: dict[str, _Tally]) -> pa.RecordBatch:
+        c: Counter = Counter()
+        for lang, t in tallies.items():
+            c.update(t.counts(lang))
+        tallies.clear()
         keys = list(c)
         columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-        out = pa.RecordBatch.from_arrays([*columns, pa.array([c[k] for k in keys], pa.int64())], names=["lang", "kind", "key", "n"])
-        c.clear()
-        return out
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(c.values()), pa.int64())], names=["lang", "kind", "key", "n"])
 
     def run(batches):
-        c: Counter = Counter()
+        tallies: dict[str, _Tally] = {}
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
-                    _count(t, language(t), c)
-                    if len(c) > 300_000:
-                        yield flush(c)
-        if c:
-            yield flush(c)
+                if t and not t.isspace():
+                    lang = language(t)
+                    if lang not in tallies:
+                        tallies[lang] = _Tally()
+                    tallies[lang].add(t)
+            if sum(len(t.tokens) + len(t.pairs) for t in tallies.values()) > 600_000:
+                yield flush(tallies)
+        if tallies:
+            yield flush(tallies)
 
     parts = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COUNTS)
     return parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
@@ -321,7 +355,7 @@ class Splitter:
         key = low
         if "'" in low or "’" in low:
             key = re.split("['’]", low)[-1]
-        starter = word is not None and (lang, "S", word.group().lower()) in self.has
+        starter = word is not None and (lang, "S", word.group().lower()) in self.has and not (len(word.group()) == 1 and text[word.end() : word.end() + 1] in (".", "-"))
         if word is not None and (lang, "2", f"{key} {word.group().lower()}") in self.has:
             return False
         if token.isdigit():
