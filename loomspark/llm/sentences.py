@@ -35,7 +35,7 @@ _SCRIPTS = [
     ("ko", re.compile("[가-힯]")), ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")),
     ("ru", re.compile("[Ѐ-ӿ]")), ("el", re.compile("[Ͱ-Ͽἀ-῿]")), ("he", re.compile("[֐-׿]")),
 ]
-_BEYOND_LATIN = re.compile("[Ͱ-﫿]")
+_BEYOND_LATIN = re.compile("[Ͱ-\u1fff\u2e80-\ufaff]")
 _FUNCTION_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
 
 _CLOSERS = "»”“’\"')\\]」』】》）〉›"
@@ -205,7 +205,7 @@ def boundary_model(counts: DataFrame, abbreviation_score: float = 3.0, starter_s
     """
     kinds = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in "wdnCSg"]
     counts = materialize(counts, "boundary-counts")  # read several times below
-    words = counts.where("kind <> '2'").groupBy("lang", "key").agg(*kinds)
+    words = materialize(counts.where("kind <> '2'").groupBy("lang", "key").agg(*kinds), "boundary-words")
     base = words.groupBy("lang").agg(*[F.sum(f"n_{k}").alias(f"all_{k}") for k in "wdCSg"])
     t = words.join(F.broadcast(base), "lang")  # a row a language, of which `language` knows a fixed number
     q0 = _ratio(F.col("all_S"), F.col("all_C"))
@@ -315,7 +315,7 @@ class Splitter:
         cuts = []
         for c in (_CANDIDATE_GREEK if lang == "el" else _CANDIDATE).finditer(text, first, end):
             p = c.end()
-            if p < end and not any(a < c.start() and p <= b for a, b in spans) and self._ends(text, c, end, lang):
+            if p < end and not (spans and any([a < c.start() and p <= b for a, b in spans])) and self._ends(text, c, end, lang):
                 cuts.append(p)
         if lang == "th" or _THAI.search(text, start, end):
             cuts = sorted(set(cuts) | {g.start() for g in _THAI_GAP.finditer(text, first, end) if not any(a < g.start() <= b for a, b in spans)})
@@ -327,14 +327,18 @@ class Splitter:
 
     def _ends(self, text: str, c: re.Match, end: int, lang: str) -> bool:
         p, marks = c.end(), c.group()
-        q = _SPACE.match(text, p, end).end()
-        if q >= end:
+        q = p
+        while q < end and text[q].isspace():
+            q += 1
+        if q == end:
             return True
         nxt = text[q]
-        if _CJK_END.search(text, c.start(), p):
+        if nxt.islower() and q > p:
+            return False
+        if marks[0] in "。！？｡…" and _CJK_END.search(text, c.start(), p):
             closed = any(x in marks for x in "」』")
             return not (closed and _PARTICLE.match(nxt)) and nxt not in "、，,；;"
-        r = _NEXT.match(text, q, end).end()
+        r = q if nxt.isupper() else _NEXT.match(text, q, end).end()
         follow = text[r] if r < end else ""
         word = _WORD.match(text, r, end)
         if q == p:  # no space after the mark
