@@ -44,7 +44,7 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(text.casefold())
 
 
-_MARKS = {c: None for c in range(0x300, 0x370)}
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def fast_words(text: str | None) -> list[str]:
@@ -55,7 +55,7 @@ def fast_words(text: str | None) -> list[str]:
     if "&" in text and _ENTITY.search(text):
         text = _HIDDEN.sub("", html.unescape(text))
     decomposed = unicodedata.normalize("NFKD", text)
-    plain = decomposed.translate(_MARKS)
+    plain = _MARKS.sub("", decomposed)
     if not plain.isascii() and any(unicodedata.combining(c) for c in set(plain)):
         plain = "".join([c for c in plain if not unicodedata.combining(c)])
     return _WORDS.findall(plain.casefold())
@@ -181,6 +181,12 @@ def near_passage(q: np.ndarray, d: np.ndarray, starts: list[tuple[int, int]], le
     return False
 
 
+def seeds_needed(run: int, least: int, per: int, longest: int) -> int:
+    """Seeds of an item that any leak keeps: run - SEED + 1 of an exact run; of n words with e edits in e + 1 runs, n - e - (SEED - 1)(e + 1)."""
+    near = [n - e - (SEED - 1) * (e + 1) for n in range(least, max(least, longest) + 1) for e in range(n // per + 1)]
+    return max(1, min([run - SEED + 1, *near]))
+
+
 def compare(q: np.ndarray, d: np.ndarray, run: int = 12, least: int = 24, per: int = 10) -> tuple[int, float, bool]:
     """(longest common run, share of q in tiles of SEED words or more, whether d leaks q)."""
     found = tiles(q, d)
@@ -217,7 +223,9 @@ def find_leaks(
         def search(batches):
             if "x" not in held:
                 held["x"] = Items(shared.value)
-            x = held["x"]
+                need = seeds_needed(run, least, per, max(map(len, held["x"].codes), default=0))
+                held["need"] = need if coverage is None else 1
+            x, need = held["x"], held["need"]
             get, codes = x.number.get, x.codes
             for batch in batches:
                 ids, keep = batch.column("d"), ([], [], [], [])
@@ -225,7 +233,9 @@ def find_leaks(
                     if not text:
                         continue
                     code = np.array([get(w, 0) for w in fast_words(text)], dtype=np.int64)
-                    for k in x.candidates(code):
+                    for k, seeds in x.candidates(code).items():
+                        if seeds < need:
+                            continue
                         longest, share, leak = compare(codes[k], code, run, least, per)
                         if leak or coverage is not None and share >= coverage:
                             for col, v in zip(keep, (row, x.ids[k], longest, share)):
