@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
+from .sentences import FUNCTION_WORDS
 
 #: Characters of a chunk. Cuts fall anywhere; results do not depend on it.
 CHUNK = 1_000_000
@@ -30,6 +31,8 @@ _BETWEEN = re.compile(r"\s[•·|/]\s|;\s|\s-\s")
 _URL = re.compile(r"(?:https?:|www\.)\S+")
 _STOP = re.compile(r"[.!?…:;。！？।؟][»\"”’)\]\s]*$")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+_PARTS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+_DIGIT = re.compile(r"\d")
 _MOJIBAKE = re.compile("[ÃÂ][\x80-\xbf-\x9f§©ª«®¢¨»]|â€|Ã|ï¿½|�")
 _SHAPE = [(re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"\s+"), " ")]
 _BEYOND_LATIN = re.compile("[Ͱ-\u1dff\u2c00-\ud7ff]")
@@ -43,6 +46,8 @@ FURTHER_WORDS = frozenset(
     "els amb per què són không là của và một có que hoc est et in non ad cum".split()
 )
 
+_FUNCTION = FURTHER_WORDS.union(*FUNCTION_WORDS.values())
+
 LIST, TABLE, JUNK, PROSE, SHORT = range(5)
 #: Sums that a text's counts hold, in this order; then a Counter of shapes and one of words.
 SUMS = ("lines", "words", "letters", "chars", "symbols", "digits", "stops", "common", "c_list", "c_table", "c_junk", "c_prose", "c_short", "n_short", "function", "latin")
@@ -62,10 +67,12 @@ def line_kind(line: str, words: list[str], common: int) -> int:
     ink = size - line.count(" ") - line.count("\t")
     if _SPACELESS.search(line):
         return PROSE if size >= 12 else SHORT
-    if len(_MOJIBAKE.findall(line)) * 12 > size:
+    if not line.isascii() and len(_MOJIBAKE.findall(line)) * 12 > size:
         return JUNK
-    if (letters + sum(map(str.isdigit, line))) * 10 < ink * 3 and size > 8:
+    if size > 8 and letters * 10 < ink * 3 and (letters + len(_DIGIT.findall(line))) * 10 < ink * 3:
         return JUNK
+    if n > 16 and common * 5 > n:
+        return PROSE
     cells = len(_CELLS.findall(line))
     if cells >= 2 and common * 5 <= n and (n + line.count(".") + 2) <= 7 * (cells + 1):
         return TABLE
@@ -95,19 +102,20 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
         if not line.isascii() and _HIDDEN.search(line):
             line = _HIDDEN.sub("", line)
         words = _WORDS.findall(line)
-        low = [w for part in words for w in re.split("['’]", part.lower())] if "'" in line or "’" in line else [w.lower() for w in words]
-        common = sum([w in vocabulary for w in low])
-        s[14] += common or sum([w in FURTHER_WORDS for w in low])
+        low = _PARTS.findall(line.lower())
+        common = sum(map(vocabulary.__contains__, low))
+        s[14] += common or sum(map(FURTHER_WORDS.__contains__, low))
         s[15] += len(low) if not _BEYOND_LATIN.search(line) else 0
         kind = line_kind(line, words, common)
         letters = sum(map(len, words))
-        digits = sum(map(str.isdigit, line)) if any(map(str.isdigit, line)) else 0
-        size = len(line.strip())
+        digits = len(_DIGIT.findall(line))
+        line = line.strip()
+        size = len(line)
         s[0] += 1
         s[1] += len(words)
         s[2] += letters
         s[3] += size
-        s[4] += max(0, size - letters - digits - line.strip().count(" "))
+        s[4] += max(0, size - letters - digits - line.count(" "))
         s[5] += digits
         s[6] += bool(_STOP.search(line))
         s[7] += common
@@ -154,6 +162,8 @@ def verdict(s: list[float], shapes: Counter, distinct: int) -> dict:
 
 def is_junk(lines: list[str]) -> bool:
     """Whether nearly every line of a page is something no reader could read."""
+    if len(_FUNCTION.intersection(max(lines, key=len).lower().split())) >= 3:
+        return False  # the longest line has the little words of a sentence
     first = lines[: len(lines) // 2 + 1]
     kinds = Counter()
     for line in first:  # junk throughout shows in any half; prose ends the look early
