@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from ..runtime import join_checked, ship
 
-#: Items of one length that one task ranks, on average.
-PER_TASK = 200_000
+#: Tokens of one length that one task ranks, on average.
+PER_TASK = 1_000_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -175,12 +175,13 @@ def pack(df: DataFrame, capacity: int, id_col: str = "sample_id", tokens_col: st
     count = {r["w"]: r["c"] for r in rest.collect()}
     n_full = lengths.agg(F.sum(full * F.col("c"))).first()[0] or 0
     places = Places(plan(count, capacity))
-    salts = max(1, -(-max(count.values(), default=1) // per_task))
-    salt = F.pmod(F.xxhash64("id", "start"), F.lit(salts)).cast("int")
-    salted = parts.withColumn("salt", salt)
-    # how many parts of a length lie in earlier salts; full ones are numbered the same way
+    spread = {w: c for w, c in count.items()} | ({capacity: n_full} if n_full else {})
+    table = spark.createDataFrame([(w, max(1, -(-w * c // per_task))) for w, c in spread.items()], "length int, salts long")
+    salted = parts.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("id", "start"), "salts"))  # at most `capacity` rows
+    # how many parts of a length lie in earlier salts
     sizes = items.select(F.size("tokens").alias("n"), "id").select(F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(capacity))).alias("start"), "id", "n")
-    sizes = sizes.select(F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int").alias("length"), salt.alias("salt")).groupBy("length", "salt").agg(F.count("*").alias("c"))
+    sizes = sizes.select(F.least(F.lit(capacity), F.col("n") - F.col("start")).cast("int").alias("length"), "id", "start")
+    sizes = sizes.join(F.broadcast(table), "length").groupBy("length", F.pmod(F.xxhash64("id", "start"), "salts").alias("salt")).agg(F.count("*").alias("c"))
     ahead = sizes.withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("length", "salt", "ahead")
     inner = Window.partitionBy("length", "salt").orderBy("id", "start")
     ranked = join_checked(salted.withColumn("k", F.row_number().over(inner) - 1), ahead, ["length", "salt"]).withColumn("rank", F.col("k") + F.col("ahead"))
