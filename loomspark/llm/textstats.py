@@ -30,7 +30,6 @@ _CELLS = re.compile(r"\t|;|\s?\|\s?|,(?=[^\s,])|(?<=\S) {3,}(?=\S)")
 _BETWEEN = re.compile(r"\s[•·|/]\s|;\s|\s-\s")
 _URL = re.compile(r"(?:https?:|www\.)\S+")
 _STOP = re.compile(r"[.!?…:;。！？।؟][»\"”’)\]\s]*$")
-_WORDS = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _PARTS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
 _MOJIBAKE = re.compile("[ÃÂ][\x80-\xbf-\x9f§©ª«®¢¨»]|â€|Ã|ï¿½|�")
@@ -49,6 +48,8 @@ FURTHER_WORDS = frozenset(
 _FUNCTION = FURTHER_WORDS.union(*FUNCTION_WORDS.values())
 
 LIST, TABLE, JUNK, PROSE, SHORT = range(5)
+#: A text of so many distinct words is no repetition of a few; beyond, they need not be told apart.
+DISTINCT = 60
 #: Sums that a text's counts hold, in this order; then a Counter of shapes and one of words.
 SUMS = ("lines", "words", "letters", "chars", "symbols", "digits", "stops", "common", "c_list", "c_table", "c_junk", "c_prose", "c_short", "n_short", "function", "latin")
 
@@ -60,19 +61,19 @@ def line_shape(line: str) -> str:
     return text[:10]
 
 
-def line_kind(line: str, words: list[str], common: int) -> int:
-    """What a line looks like by itself."""
+def line_kind(line: str, words: list[str], common: int, beyond: bool = True) -> int:
+    """What a line looks like by itself; beyond: whether its text has signs beyond Latin script."""
     n, size = len(words), len(line)
-    letters = sum(map(len, words))
-    ink = size - line.count(" ") - line.count("\t")
-    if _SPACELESS.search(line):
+    if beyond and _SPACELESS.search(line):
         return PROSE if size >= 12 else SHORT
     if not line.isascii() and len(_MOJIBAKE.findall(line)) * 12 > size:
         return JUNK
-    if size > 8 and letters * 10 < ink * 3 and (letters + len(_DIGIT.findall(line))) * 10 < ink * 3:
-        return JUNK
     if n > 16 and common * 5 > n:
         return PROSE
+    letters = sum(map(len, words))
+    ink = size - line.count(" ") - line.count("\t")
+    if size > 8 and letters * 10 < ink * 3 and (letters + len(_DIGIT.findall(line))) * 10 < ink * 3:
+        return JUNK
     cells = len(_CELLS.findall(line))
     if cells >= 2 and common * 5 <= n and (n + line.count(".") + 2) <= 7 * (cells + 1):
         return TABLE
@@ -91,28 +92,30 @@ def line_kind(line: str, words: list[str], common: int) -> int:
     return PROSE
 
 
-def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[float], Counter, Counter]:
-    """Counts of whole lines: the sums SUMS, shapes of short lines (lines, characters, kind's characters), words."""
+def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[float], Counter, set[str]]:
+    """Counts of whole lines: the sums SUMS, shapes of short lines (lines, characters, kind's characters), distinct words while below DISTINCT."""
     s = [0] * len(SUMS)
     shapes: Counter = Counter()
-    vocab: Counter = Counter()
+    vocab: set[str] = set()
+    probe = "\n".join(lines)
+    beyond = not probe.isascii() and _BEYOND_LATIN.search(probe) is not None
+    hidden = not probe.isascii() and _HIDDEN.search(probe) is not None
     for line in lines:
         if not line or line.isspace():
             continue
-        if not line.isascii() and _HIDDEN.search(line):
+        if hidden:
             line = _HIDDEN.sub("", line)
-        words = _WORDS.findall(line)
         low = _PARTS.findall(line.lower())
         common = sum(map(vocabulary.__contains__, low))
         s[14] += common or sum(map(FURTHER_WORDS.__contains__, low))
-        s[15] += len(low) if not _BEYOND_LATIN.search(line) else 0
-        kind = line_kind(line, words, common)
-        letters = sum(map(len, words))
+        s[15] += len(low) if not (beyond and _BEYOND_LATIN.search(line)) else 0
+        kind = line_kind(line, low, common, beyond)
+        letters = sum(map(len, low))
         digits = len(_DIGIT.findall(line))
         line = line.strip()
         size = len(line)
         s[0] += 1
-        s[1] += len(words)
+        s[1] += len(low)
         s[2] += letters
         s[3] += size
         s[4] += max(0, size - letters - digits - line.count(" "))
@@ -121,12 +124,13 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
         s[7] += common
         s[8 + kind] += size
         s[13] += kind == SHORT
-        if len(words) <= 14:
+        if len(low) <= 14:
             form = line_shape(line)
             if form.strip("a ") or kind == SHORT:
                 shapes[form, "n"] += 1
                 shapes[form, kind] += size
-        vocab.update(low)
+        if len(vocab) < DISTINCT:
+            vocab.update(low)
     return s, shapes, vocab
 
 
@@ -142,7 +146,7 @@ def verdict(s: list[float], shapes: Counter, distinct: int) -> dict:
             else:
                 short -= n
     words, common = sums["words"], sums["common"]
-    if words >= 30 and distinct * 20 < words * 3 and common * 10 < words and distinct < 60:
+    if words >= 30 and distinct * 20 < words * 3 and common * 10 < words and distinct < DISTINCT:
         junk, prose, items, short = junk + prose + items + short, 0.0, 0.0, 0.0
     least = 0.22 if not sums["stops"] and words >= 40 else 0.15
     if sums["latin"] >= 20 and sums["latin"] * 2 > words and sums["function"] < least * sums["latin"]:
@@ -165,16 +169,16 @@ def is_junk(lines: list[str]) -> bool:
     if len(_FUNCTION.intersection(max(lines, key=len).lower().split())) >= 3:
         return False  # the longest line has the little words of a sentence
     first = lines[: len(lines) // 2 + 1]
-    kinds = Counter()
+    kinds: Counter = Counter()
     for line in first:  # junk throughout shows in any half; prose ends the look early
-        words = _WORDS.findall(line)
+        words = _PARTS.findall(line)
         kinds[line_kind(line, words, 0)] += 1
         if kinds[PROSE] > 6 and kinds[JUNK] == 0:
             break
     if kinds[JUNK] * 10 >= sum(kinds.values()) * 8:
-        rest = [line_kind(x, _WORDS.findall(x), 0) for x in lines]
+        rest = [line_kind(x, _PARTS.findall(x), 0) for x in lines]
         return rest.count(JUNK) * 10 >= len(rest) * 8
-    low = [w for x in lines for w in _WORDS.findall(x.lower())]
+    low = [w for x in lines for w in _PARTS.findall(x.lower())]
     return len(low) >= 30 and len(set(low)) * 20 < len(low) * 3 and len(set(low)) < 20
 
 
@@ -191,7 +195,7 @@ class State:
     def row(self) -> dict:
         return {
             "head": self.head, "tail": self.tail, "sums": [float(x) for x in self.sums], "shape": [f"{k[0]}\x00{k[1]}" for k in self.shapes],
-            "shape_n": [int(x) for x in self.shapes.values()], "word": list(self.words), "word_n": [int(x) for x in self.words.values()],
+            "shape_n": [int(x) for x in self.shapes.values()], "word": list(self.words),
         }
 
     @classmethod
@@ -200,7 +204,7 @@ class State:
         me.head, me.tail, me.sums = r["head"], r["tail"], list(r["sums"])
         keys = [k.split("\x00") for k in r["shape"]]
         me.shapes = Counter({(a, b if b == "n" else int(b)): n for (a, b), n in zip(keys, r["shape_n"])})
-        me.words = Counter(dict(zip(r["word"], r["word_n"])))
+        me.words = set(r["word"])
         return me
 
     def _add(self, line: str, vocabulary: frozenset[str]) -> None:
@@ -243,7 +247,7 @@ OUT = T.StructType([
 _STATE = T.StructType([
     T.StructField("head", T.StringType()), T.StructField("tail", T.StringType()), T.StructField("sums", T.ArrayType(T.DoubleType())),
     T.StructField("shape", T.ArrayType(T.StringType())), T.StructField("shape_n", T.ArrayType(T.LongType())),
-    T.StructField("word", T.ArrayType(T.StringType())), T.StructField("word_n", T.ArrayType(T.LongType())),
+    T.StructField("word", T.ArrayType(T.StringType())),
 ])
 
 
