@@ -58,7 +58,8 @@ def _score(name: str) -> Column:
 
 
 def _score_sql(name: str) -> str:
-    return f"CASE WHEN NOT isnan(score_{name}) AND score_{name} BETWEEN 0 AND 1 THEN score_{name} END"
+    # NaN by its text: range statistics of a file leave NaN out, and isnan may be folded away by them
+    return f"CASE WHEN score_{name}::VARCHAR <> 'nan' AND score_{name} BETWEEN 0 AND 1 THEN score_{name} END"
 
 
 def _nums() -> Column:
@@ -621,7 +622,7 @@ def shard_totals(spark, d):
     return reduce(DataFrame.unionByName, [read(spark, d, t).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).select(F.lit(t).alias("t"), "n", "chars") for t in ("documents", "vesper_edu_fr", "annotation")])
 
 
-_TRUTH = "(SELECT a.t, (v.score_pedagogy >= 0.65) AS g FROM (SELECT doc_id, max(pedagogy) >= 3 AS t FROM annotation WHERE pedagogy BETWEEN 0 AND 5 GROUP BY doc_id) a JOIN vesper_edu_fr v ON v.row_id = a.doc_id WHERE NOT isnan(v.score_pedagogy) AND v.score_pedagogy BETWEEN 0 AND 1)"
+_TRUTH = "(SELECT a.t, (v.score_pedagogy >= 0.65) AS g FROM (SELECT doc_id, max(pedagogy) >= 3 AS t FROM annotation WHERE pedagogy BETWEEN 0 AND 5 GROUP BY doc_id) a JOIN vesper_edu_fr v ON v.row_id = a.doc_id WHERE v.score_pedagogy::VARCHAR <> 'nan' AND v.score_pedagogy BETWEEN 0 AND 1)"
 _CM = f"SELECT count(CASE WHEN t AND g THEN 1 END) AS tp, count(CASE WHEN NOT t AND g THEN 1 END) AS fp, count(CASE WHEN t AND NOT g THEN 1 END) AS fn, count(CASE WHEN NOT t AND NOT g THEN 1 END) AS tn FROM {_TRUTH}"
 
 
@@ -712,7 +713,7 @@ def shuffle_buffer(spark, d):
     return sampling.buffer_shuffle(_docs(spark, d).select("doc_id"), "doc_id", 100, "buf").select("doc_id", "buffer", "place")
 
 
-@query("SELECT path, name, weight, round(weight / sum(weight) OVER (), 8) AS prob FROM (SELECT path, name, max(weight) AS weight FROM sources WHERE weight > 0 AND NOT isnan(weight) GROUP BY path, name)")
+@query("SELECT path, name, weight, round(weight / sum(weight) OVER (), 8) AS prob FROM (SELECT path, name, max(weight) AS weight FROM sources WHERE weight > 0 AND weight::VARCHAR <> 'nan' GROUP BY path, name)")
 def mix_probs(spark, d):
     return sampling.mix_probabilities(read(spark, d, "sources")).withColumn("prob", F.round("prob", 8))
 
