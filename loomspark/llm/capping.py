@@ -44,18 +44,18 @@ def kth_smallest(df: DataFrame, group: str, value: str, wanted: dict, buckets: i
     an interval of one value ends the search. The driver holds buckets x groups numbers, and no rows.
     """
     out: dict = {}
-    ends = df.groupBy(group).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
-    open_ = {r[group]: [r["lo"], r["hi"], wanted[r[group]]] for r in ends if r[group] in wanted}
+    rows = df.select(F.col(group).alias("_g"), F.col(value).cast("decimal(20,0)").alias("_v"))  # differences of longs may overflow a long
+    ends = rows.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
+    open_ = {r["_g"]: [int(r["lo"]), int(r["hi"]), wanted[r["_g"]]] for r in ends if r["_g"] in wanted}
     while open_:
         for g in [g for g, (lo, hi, _) in open_.items() if lo == hi]:
             out[g] = open_.pop(g)[0]
         if not open_:
             break
-        spark = df.sparkSession
         width = {g: -(-(hi - lo + 1) // buckets) for g, (lo, hi, _) in open_.items()}
-        bounds = spark.createDataFrame([(g, lo, hi, width[g]) for g, (lo, hi, _) in open_.items()], "g string, lo long, hi long, width long")
-        inside = df.join(F.broadcast(bounds), (F.col(group) == F.col("g")) & F.col(value).between(F.col("lo"), F.col("hi")))  # a row a group, of which the caller has few
-        counts = inside.groupBy("g", F.expr(f"(`{value}` - lo) div width").alias("b")).agg(F.count("*").alias("n")).collect()
+        bounds = df.sparkSession.createDataFrame([(g, lo, hi, width[g]) for g, (lo, hi, _) in open_.items()], "_g string, lo long, hi long, width long")
+        inside = rows.join(F.broadcast(bounds), "_g").where(F.col("_v").between(F.col("lo"), F.col("hi")))  # a row a group, of which the caller has few
+        counts = inside.groupBy(F.col("_g").alias("g"), F.expr("(_v - cast(lo as decimal(20,0))) div width").alias("b")).agg(F.count("*").alias("n")).collect()
         by: dict = {}
         for r in counts:
             by.setdefault(r["g"], []).append((r["b"], r["n"]))

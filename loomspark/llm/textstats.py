@@ -39,7 +39,7 @@ _SPACELESS = re.compile("[぀-ヿ㐀-鿿ก-๿]")
 
 #: Frequent words of further languages in Latin script, by which their prose is told from made-up words.
 FURTHER_WORDS = frozenset(
-    "il di che non per una sono della nel con os das uma em por para mais como het een van dat niet zijn met voor "
+    "il di che non per una sono della delle alla gli nel con os das uma em por para mais como het een van dat niet zijn met voor "
     "nie się na jest że do jak po och att som det är på inte med og ikke til af på den ja ei että on mutta hän "
     "és az hogy nem egy a să și nu este cu pe la în je že se na být jako v i li da bir ve bu için ile de da "
     "els amb per què són không là của và một có que hoc est et in non ad cum".split()
@@ -97,6 +97,7 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
     s = [0] * len(SUMS)
     shapes: Counter = Counter()
     vocab: set[str] = set()
+    further = vocabulary | _FUNCTION
     probe = "\n".join(lines)
     beyond = not probe.isascii() and _BEYOND_LATIN.search(probe) is not None
     hidden = not probe.isascii() and _HIDDEN.search(probe) is not None
@@ -107,7 +108,7 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
             line = _HIDDEN.sub("", line)
         low = _PARTS.findall(line.lower())
         common = sum(map(vocabulary.__contains__, low))
-        s[14] += common or sum(map(FURTHER_WORDS.__contains__, low))
+        s[14] += common if common * 4 > len(low) else sum(map(further.__contains__, low))
         s[15] += len(low) if not (beyond and _BEYOND_LATIN.search(line)) else 0
         kind = line_kind(line, low, common, beyond)
         letters = sum(map(len, low))
@@ -151,7 +152,7 @@ def verdict(s: list[float], shapes: Counter, distinct: int) -> dict:
     least = 0.22 if not sums["stops"] and words >= 40 else 0.15
     if sums["latin"] >= 20 and sums["latin"] * 2 > words and sums["function"] < least * sums["latin"]:
         junk, prose = junk + prose, 0.0  # no language has so few of its little words: strings of keywords, invented words
-    if sums["n_short"] >= 5 and prose == 0 and short > items + table + junk:
+    if sums["n_short"] >= 5 and short > items + table + junk and (prose == 0 or sums["n_short"] >= 8 and short > prose):
         items, short = items + short, 0.0
     n = max(words, 1)
     kinds = {"list": items, "table": table, "junk": junk, "prose": prose}
