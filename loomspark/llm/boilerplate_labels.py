@@ -60,8 +60,12 @@ PAGES = """
 - Voir aussi : Comprendre les lavoirs de la vallée haute et leurs usages au siècle dernier
 + Le péage
 + Chaque charrette payait deux deniers, et les piétons passaient sans rien donner, sauf les jours de foire où la règle changeait.
-- Dans la même rubrique
+- → Les bacs de la rivière (8)
 - » Les moulins à vent
+- - Les gués du canton de Saverne
+- - Pourquoi étudier les péages de Lens
+- Arras (1640) – siège et canaux
+- - Les quais de la ville basse
 - Les moulins à eau – lire la suite...
 - - Les chemins de halage (3)
 - ← Page précédente : Les lavoirs du canton
@@ -113,6 +117,7 @@ PAGES = """
 + Horaires des visites de septembre
 + 9h30 : atelier Duval, gravure
 + 10h15 : atelier Morel, reliure
+- >> La reliure au XVIIIe siècle
 + 11h00 : atelier Petit, dorure
 + 13h45 : atelier Simon, papier
 - Publicité
@@ -166,10 +171,14 @@ PAGES = """
 - La suite de la page après la publicité
 + Q : Combien d'arbres faut-il pour une haie de trente mètres si l'on plante tous les deux mètres et que l'on commence au bord ?
 + R : Seize, car il en faut un de plus que d'intervalles.
+- Écrit par C. Arnaud | 7 septembre 2020 | Temps de lecture : 84 min
 + Autre méthode
 + On peut aussi dessiner la haie et compter les troncs, ce qui évite l'erreur la plus courante chez les jeunes élèves.
 - 3 réponses à « Planter une haie »
 - lucie_44 : Merci pour la solution, mon fils a compris.
+- jeanne88 : Quelqu'un a-t-il la correction de l'exercice ? À Tours aussi.
+- marcel61 : Moi, chez nous, on comptait les trous et non les arbres, enfin bon.
+- odile07 : Une coquille au deuxième paragraphe, me semble-t-il.
 - paul12 : Bonjour, et pour une haie ronde ?
 - Vous devez être membre pour répondre.
 - Dernière visite : 03/05/2020
@@ -210,7 +219,7 @@ PAGES = """
 - Identifiant oublié ?
 - Copier le lien
 - Noter cet article : 4/5
-- Écrit par M. Leroy | 2 juin 2019 | Temps de lecture : 6 min
+- Écrit par M. Leroy | dimanche 2 juin 2019 | Temps de lecture : 6 min
 - Revue du soir > Cuisine > Le pain noir
 + Le pain noir
 + 1. Farine de seigle (500 g)
