@@ -271,6 +271,34 @@ PAGES = """
 - Les foires de la vallée (9)
 - Conditions d'utilisation
 
+- Fiches
+- Corrigés
++ Élèves de la promotion
++ Aubry
++ Bertin
++ Carlier
++ Delmas
++ Evrard
++ Fournier
++ Germain
++ Humbert
+- La suite après la publicité
+- 12 partages
+
+- Connexion
++ Relevés du port
++ Quai,Tirant,Longueur
++ Nord,4.5,120
++ Sud,n.d.,95
++ Est,6.1,140
++ Ouest,3.9,88
+- Réf. 44-10
++ - 12 kg de sel gris
++ - 3 sacs de farine
++ - 40 m de corde fine
++ - 2 l d'huile de lin
+- → Les phares de la côte
+
 - Inicio | Cursos | Contacto
 - Iniciar sesión
 + El ciclo del agua
