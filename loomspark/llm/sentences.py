@@ -343,10 +343,15 @@ class Splitter:
         word = _WORD.match(text, r, end)
         if q == p:  # no space after the mark
             before = text[max(0, c.start() - 1) : c.start()]
-            if not (follow.isupper() and before.isalpha() and not before.isupper()):
+            if not (follow.isupper() and (before.isdigit() or before.isalpha() and not before.isupper())):
                 return marks[-1] in "?!؟۔।॥" and not follow.islower() and follow.isalpha() and len(marks) == 1 and not _CJK.match(follow)
             token = _TOKEN_BEFORE.search(text, max(0, c.start() - 60), c.start()).group()
-            return len(token) > 1 and not re.search(r"[./@\\_:]|^www$", token) and word is not None and (word.end() - r > 1 or word.group()[-1] in "'’") and not (marks[0] == "." and (lang, "A", token.lower()) in self.has)
+            unit = len(token) == 1 and text[max(0, c.start() - 3) : c.start() - 1].strip()[-1:].isdigit()  # 2 h.
+            if word is None or not (len(token) > 1 or unit) or re.search(r"[./@\\_:]|^www$", token):
+                return False
+            if word.end() - r == 1 and word.group()[-1] not in "'’":
+                return False
+            return not (marks[0] == "." and (lang, "A", token.lower()) in self.has) or (lang, "S", word.group().lower()) in self.has
         if follow.islower() or nxt in ",;:)]%" or not follow:
             return False
         if nxt in "-–—":
