@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,11 @@ DISTINCT = 60
 SUMS = ("lines", "words", "letters", "chars", "symbols", "digits", "stops", "common", "c_list", "c_table", "c_junk", "c_prose", "c_short", "n_short", "function", "latin")
 
 
+@lru_cache(4)
+def _with_function_words(vocabulary: frozenset[str]) -> frozenset[str]:
+    return vocabulary | _FUNCTION
+
+
 def line_shape(line: str) -> str:
     text = line[:70].strip()
     for p, s in _SHAPE:
@@ -97,7 +103,7 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
     s = [0] * len(SUMS)
     shapes: Counter = Counter()
     vocab: set[str] = set()
-    further = vocabulary | _FUNCTION
+    further = _with_function_words(vocabulary)
     probe = "\n".join(lines)
     beyond = not probe.isascii() and _BEYOND_LATIN.search(probe) is not None
     hidden = not probe.isascii() and _HIDDEN.search(probe) is not None
