@@ -30,7 +30,7 @@ _MARK = re.compile(r"^\s*(?:[-–—*•◦▪·]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))\
 _CELLS = re.compile(r"\t|;|\s?\|\s?|,(?=[^\s,])|(?<=\S) {3,}(?=\S)")
 _BETWEEN = re.compile(r"\s[•·|/]\s|;\s|\s-\s")
 _URL = re.compile(r"(?:https?:|www\.)\S+")
-_STOP = re.compile(r"[.!?…:;。！？।؟][»\"”’)\]\s]*$")
+_ENDINGS, _CLOSING = frozenset(".!?…:;。！？।؟"), "»\"”’)] \t\r\u00a0\u202f"
 _PARTS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _DIGIT = re.compile(r"\d")
 _MOJIBAKE = re.compile("[ÃÂ][\x80-\xbf-\x9f§©ª«®¢¨»]|â€|Ã|ï¿½|�")
@@ -67,12 +67,12 @@ def line_shape(line: str) -> str:
     return text[:10]
 
 
-def line_kind(line: str, words: list[str], common: int, beyond: bool = True) -> int:
-    """What a line looks like by itself; beyond: whether its text has signs beyond Latin script."""
+def line_kind(line: str, words: list[str], common: int, beyond: bool = True, broken: bool = True) -> int:
+    """What a line looks like by itself; beyond, broken: whether its text has signs beyond Latin script, or of a wrong encoding."""
     n, size = len(words), len(line)
     if beyond and _SPACELESS.search(line):
         return PROSE if size >= 12 else SHORT
-    if not line.isascii() and len(_MOJIBAKE.findall(line)) * 12 > size:
+    if broken and len(_MOJIBAKE.findall(line)) * 12 > size:
         return JUNK
     if n > 16 and common * 5 > n:
         return PROSE
@@ -107,6 +107,7 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
     probe = "\n".join(lines)
     beyond = not probe.isascii() and _BEYOND_LATIN.search(probe) is not None
     hidden = not probe.isascii() and _HIDDEN.search(probe) is not None
+    broken = any([sign in probe for sign in ("Ã", "Â", "â€", "ï¿½", "\ufffd")])
     for line in lines:
         if not line or line.isspace():
             continue
@@ -116,9 +117,9 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
         common = sum(map(vocabulary.__contains__, low))
         s[14] += common if common * 4 > len(low) else sum(map(further.__contains__, low))
         s[15] += len(low) if not (beyond and _BEYOND_LATIN.search(line)) else 0
-        kind = line_kind(line, low, common, beyond)
+        kind = line_kind(line, low, common, beyond, broken)
         letters = sum(map(len, low))
-        digits = len(_DIGIT.findall(line))
+        digits = len(_DIGIT.findall(line)) if beyond else sum(map(line.count, "0123456789"))
         line = line.strip()
         size = len(line)
         s[0] += 1
@@ -127,7 +128,7 @@ def count_lines(lines: list[str], vocabulary: frozenset[str]) -> tuple[list[floa
         s[3] += size
         s[4] += max(0, size - letters - digits - line.count(" "))
         s[5] += digits
-        s[6] += bool(_STOP.search(line))
+        s[6] += line.rstrip(_CLOSING)[-1:] in _ENDINGS
         s[7] += common
         s[8 + kind] += size
         s[13] += kind == SHORT
