@@ -487,17 +487,17 @@ def dedup_url(spark, d):
 
 @query(f"WITH e AS (SELECT doc_id, md5({S.prefix('text', 30)}) AS p FROM documents QUALIFY row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) = 1) SELECT doc_id FROM e QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id) = 1")
 def dedup_fuzzy(spark, d):
-    return dedup.dedup(_docs(spark, d), "doc_id", fuzzy_chars=30)
+    return dedup.dedup(_docs(spark, d), "doc_id")
 
 
 @query(f"WITH {_D1}, {_D2}, {_D3} SELECT row_id FROM d3")
 def dedup_full(spark, d):
-    return dedup.dedup(_pages(spark, d), "row_id", url=F.col("url"), fuzzy_chars=200)
+    return dedup.dedup(_pages(spark, d), "row_id", url=F.col("url"))
 
 
 @query(f"WITH {_D1}, {_D2}, {_D3} SELECT (SELECT count(*) FROM vesper_edu_fr) AS total, (SELECT count(*) FROM d3) AS kept, (SELECT count(*) FROM vesper_edu_fr) - (SELECT count(*) FROM d1) AS exact, (SELECT count(*) FROM d1) - (SELECT count(*) FROM d2) AS url, (SELECT count(*) FROM d2) - (SELECT count(*) FROM d3) AS fuzzy, (SELECT count(*) FROM vesper_edu_fr WHERE coalesce(text, '') = '') AS empty")
 def dedup_summary(spark, d):
-    levels = dedup.dedup_levels(_pages(spark, d), "row_id", url=F.col("url"), fuzzy_chars=200)
+    levels = dedup.dedup_levels(_pages(spark, d), "row_id", url=F.col("url"))
     c = levels.agg(F.count("*").alias("total"), *[F.count(F.when(F.col("level") == k, 1)).alias(k) for k in ("kept", "exact", "url", "fuzzy")])
     return c.crossJoin(_pages(spark, d).agg(F.count(F.when(F.coalesce(F.col("text"), F.lit("")) == "", 1)).alias("empty")))
 
@@ -845,7 +845,7 @@ def translate_identity(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Full deduplication of the pages in order, the length filter, and lengths by language."""
     pages = _pages(spark, d)
-    kept = pages.select("row_id", "lang", F.length("text").alias("n")).join(dedup.dedup(pages, "row_id", url=F.col("url"), fuzzy_chars=200), "row_id", "left_semi")
+    kept = pages.select("row_id", "lang", F.length("text").alias("n")).join(dedup.dedup(pages, "row_id", url=F.col("url")), "row_id", "left_semi")
     return kept.where("n >= 100").groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg("n"), 4).alias("avg_chars"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"))
 
 

@@ -38,3 +38,18 @@ def test_url_is_the_key_not_its_host(spark, tmp_path):
     s = run("dedup_summary")[0]
     assert (s.total, s.kept, s.exact, s.url, s.fuzzy) == (44, 33, 1, 10, 0)
     assert [r.docs for r in run("pipeline")] == [33]
+
+
+def test_texts_that_open_alike_are_kept(spark, tmp_path):
+    """A common title of 300 characters is no copy; 1,000 equal characters are, whatever their case and blanks."""
+    title, body = "Conditions of use and privacy notice " * 8, "same words again " * 80
+    rows = [(k, f"https://a.fr/{k}", title + f"text {k} " * 30) for k in range(5)]
+    rows += [(5, "https://a.fr/5", body + "one end"), (6, "https://a.fr/6", body.upper().replace(" ", "  ") + "another end")]
+    spark.createDataFrame([(i, u, t, "fr") for i, u, t in rows], "row_id long, url string, text string, lang string").write.parquet(f"{tmp_path}/vesper_edu_fr.parquet")
+    spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    want = loop(rows, 1000)
+    assert want == [0, 1, 2, 3, 4, 5] and loop(rows, 30) == [0, 5] and loop(rows, 200) == [0, 5]
+    assert sorted(r.doc_id for r in run("dedup_fuzzy")) == want
+    assert sorted(r.row_id for r in run("dedup_full")) == want
+    assert run("dedup_summary")[0].fuzzy == 1 and [r.docs for r in run("pipeline")] == [6]
