@@ -4,7 +4,8 @@ Words of the items get small numbers; a document's words are numbered by the sam
 runs that share nothing with any item. Shared runs of SEED words (Karp-Rabin codes, rolled over the whole
 document at once) are the seeds that join documents to items. For each joined pair the longest common runs
 are marked, longest first and never twice (greedy string tiling); the tiles give the exact runs, the
-coverage of the item in whatever order its parts stand, and the anchors of the test for changed words.
+coverage of the item in whatever order its parts stand. The test for changed words starts at every common run
+long enough to be the longest of a passage, marked or not, and goes forwards and backwards from it.
 """
 
 from __future__ import annotations
@@ -106,8 +107,8 @@ class Items:
         return found
 
 
-def tiles(q: np.ndarray, d: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in q, place in d, length), longest first, no word of either in two tiles."""
+def common_runs(q: np.ndarray, d: np.ndarray, least: int = 3) -> list[tuple[int, int, int]]:
+    """All maximal common runs of `least` words or more: (length, place in q, place in d), overlapping ones too."""
     at: dict[tuple, list[int]] = defaultdict(list)
     where = np.flatnonzero(np.isin(d, q))
     dl, ql = d.tolist(), q.tolist()
@@ -124,7 +125,13 @@ def tiles(q: np.ndarray, d: np.ndarray, least: int = 3) -> list[tuple[int, int,
             while i + n < len(ql) and j + n < len(dl) and ql[i + n] == dl[j + n]:
                 n += 1
             matches.append((n, i, j))
-    out, used_q, used_d = [], np.zeros(len(ql), bool), np.zeros(len(dl), bool)
+    return matches
+
+
+def tiles(q: np.ndarray, d: np.ndarray, least: int = 3, matches: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (place in q, place in d, length), longest first, no word of either in two tiles."""
+    matches = common_runs(q, d, least) if matches is None else matches
+    out, used_q, used_d = [], np.zeros(len(q), bool), np.zeros(len(d), bool)
     heap = sorted(matches, key=lambda m: (-m[0], m[1], m[2]))
     while heap:
         n, i, j = heap.pop(0)
@@ -149,35 +156,49 @@ def tiles(q: np.ndarray, d: np.ndarray, least: int = 3) -> list[tuple[int, int,
     return out
 
 
+def _reach(ql: list[int], dl: list[int], i0: int, j0: int, most: int) -> list[int]:
+    """Words of q that can be followed from (i0, j0) with 0, 1, ... most edits, edits at the very end included."""
+    nq, nd = len(ql), len(dl)
+    reach, out = {0: i0}, []
+    for _ in range(most + 1):
+        ahead: dict[int, int] = {}
+        furthest = i0
+        for k, i in reach.items():
+            j = j0 + (i - i0) + k
+            while i < nq and 0 <= j < nd and ql[i] == dl[j]:
+                i += 1
+                j += 1
+            furthest = max(furthest, i)
+            for kk, ii in ((k, i + 1), (k - 1, i + 1), (k + 1, i)):  # changed, dropped, added
+                if ii <= nq and ii > ahead.get(kk, -1):
+                    ahead[kk] = ii
+        out.append(furthest - i0)
+        reach = ahead
+    return out
+
+
+def longest_left(least: int, per: int, longest: int) -> int:
+    """Words of the longest run that any passage of `least` words or more, of at most `longest`, keeps: n - e words in e + 1 runs."""
+    return max(1, min(-(-(n - n // per) // (n // per + 1)) for n in range(least, max(least, longest) + 1)))
+
+
 def near_passage(q: np.ndarray, d: np.ndarray, starts: list[tuple[int, int]], least: int = 24, per: int = 10) -> bool:
     """Whether some passage of q of at least `least` words stands in d with at most one edit in `per` words.
 
-    From each start (a place where both agree) the furthest ends with 0, 1, 2 ... edits are followed, diagonal
-    by diagonal; edits that would stand at the passage's own ends are allowed for as well.
+    From each start (a place where both agree, in the passage sought) the furthest ends with 0, 1, 2 ... edits are
+    followed forwards and backwards, diagonal by diagonal; edits at the passage's own ends are allowed for as well.
     """
     ql, dl = q.tolist(), d.tolist()
     nq, nd = len(ql), len(dl)
     if nq < least:
         return False
     most = nq // per
-    for i0, j0 in starts:
-        reach = {0: i0}
+    ql_back, dl_back = ql[::-1], dl[::-1]
+    for i, j in starts:
+        ahead, back = _reach(ql, dl, i, j, most), _reach(ql_back, dl_back, nq - i, nd - j, most)
         for e in range(most + 1):
-            ahead: dict[int, int] = {}
-            for k, i in reach.items():
-                j = j0 + (i - i0) + k
-                while i < nq and 0 <= j < nd and ql[i] == dl[j]:
-                    i += 1
-                    j += 1
-                n = i - i0
-                for more in range(most - e + 1):
-                    whole = min(n + more, nq)
-                    if whole >= least and (e + more) * per <= whole:
-                        return True
-                for kk, ii in ((k, i + 1), (k - 1, i + 1), (k + 1, i)):  # changed, dropped, added
-                    if ii <= nq and ii > ahead.get(kk, -1):
-                        ahead[kk] = ii
-            reach = ahead
+            if max(ahead[x] + back[e - x] for x in range(e + 1)) >= max(least, e * per):
+                return True
     return False
 
 
@@ -189,10 +210,12 @@ def seeds_needed(run: int, least: int, per: int, longest: int) -> int:
 
 def compare(q: np.ndarray, d: np.ndarray, run: int = 12, least: int = 24, per: int = 10) -> tuple[int, float, bool]:
     """(longest common run, share of q in tiles of SEED words or more, whether d leaks q)."""
-    found = tiles(q, d)
+    keep = longest_left(least, per, len(q))
+    matches = common_runs(q, d, min(3, keep))
+    found = tiles(q, d, matches=[m for m in matches if m[0] >= 3])
     longest = max((n for _, _, n in found), default=0)
     coverage = sum(n for _, _, n in found if n >= SEED) / len(q) if len(q) else 0.0
-    leak = longest >= run or near_passage(q, d, sorted({(i, j) for i, j, n in found}), least, per)
+    leak = longest >= run or near_passage(q, d, sorted((i, j) for n, i, j in matches if n >= keep), least, per)
     return longest, coverage, leak
 
 

@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+
+from loomspark.llm import leakage
 from loomspark.plans import registry
+from tests.llm.test_operators import edit_passage
 
 
 def loop(rows, chars=None, url=True):
@@ -53,3 +57,36 @@ def test_texts_that_open_alike_are_kept(spark, tmp_path):
     assert sorted(r.doc_id for r in run("dedup_fuzzy")) == want
     assert sorted(r.row_id for r in run("dedup_full")) == want
     assert run("dedup_summary")[0].fuzzy == 1 and [r.docs for r in run("pipeline")] == [6]
+
+
+def leaks(q, d):
+    items = leakage.Items([(1, " ".join(q))])
+    code = np.array([items.number.get(w, 0) for w in d], dtype=np.int64)
+    return items.candidates(code).get(0, 0) >= leakage.seeds_needed(12, 24, 10, len(q)) and leakage.compare(items.codes[0], code)[2]
+
+
+def test_edited_questions_whose_parts_stand_twice():
+    q = [f"w{i}" for i in range(30)]
+    edited = [*q[:6], "x", *q[7:18], "y", *q[19:]]
+    assert leaks(q, [*q[:11], "elsewhere", *edited])
+    assert leaks(q, [*edited, "elsewhere", *q[:11]])
+    short = q[:24]
+    assert leaks(short, [*short[:2], "x", *short[3:12], "y", *short[13:]])
+    rng = random.Random(195)
+    found = 0
+    for _ in range(80):
+        q = [f"w{i}" for i in rng.sample(range(300), rng.choice([24, 27, 30, 34]))]
+        part = list(q)
+        for _ in range(rng.choice([2, 3, 4])):
+            k = rng.randrange(len(part))
+            part[k : k + 1] = rng.choice([["zz"], [], [part[k], "yy"]])
+        d = []
+        for _ in range(rng.choice([1, 2])):
+            s = rng.randrange(len(q) - 6)
+            d += [*q[s : s + rng.choice([6, 9, 11])], "aa"]
+        d = [*d, *part, "bb"] if rng.random() < 0.5 else [*part, "bb", *d]
+        run = any(q[i : i + 12] == d[j : j + 12] for i in range(len(q) - 11) for j in range(len(d) - 11))
+        want = run or edit_passage(q, d)
+        assert leaks(q, d) == want, (q, d)
+        found += want and not run
+    assert found
