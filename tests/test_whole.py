@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from loomspark.llm import leakage
+from loomspark.llm import leakage, repeated
 from loomspark.plans import registry
 from tests.llm.test_operators import edit_passage
 
@@ -90,3 +90,49 @@ def test_edited_questions_whose_parts_stand_twice():
         assert leaks(q, d) == want, (q, d)
         found += want and not run
     assert found
+
+
+def linked_lines(rows, near, least=4, percent=5):
+    """Brute force: (id, line) of lines linked over a site's other lines at least `near` alike, rows summed per linked cluster."""
+    by_site, out = {}, set()
+    for i, text, url in rows:
+        by_site.setdefault(url.split("/")[2], []).append((i, text.split("\n")))
+    for docs in by_site.values():
+        rows_of = {}
+        for i, lines in docs:
+            for line in lines:
+                rows_of.setdefault(line, set()).add(i)
+        runs = {x: {tuple(x.split()[k : k + 5]) for k in range(max(1, len(x.split()) - 4))} for x in rows_of}
+        left = set(rows_of)
+        while left:
+            todo, cluster = [left.pop()], []
+            while todo:
+                cluster.append(x := todo.pop())
+                linked = {y for y in left if len(runs[x] & runs[y]) >= near * len(runs[x] | runs[y])}
+                left -= linked
+                todo += linked
+            n = sum(len(rows_of[x]) for x in cluster)
+            if n >= least and n * 100 >= percent * len(docs):
+                out |= {(i, k) for i, lines in docs for k, line in enumerate(lines) if line in cluster}
+    return out
+
+
+def test_near_lines_are_linked_before_rows_are_counted(spark):
+    """Four variants that stand once each, and chains of which the ends are unlike each other."""
+    rng = random.Random(216)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstvz", k=6))
+    rows = []
+    for s in range(40):
+        base = [word() for _ in range(24)]
+        if s % 2:
+            variants = [" ".join([*base[:22], word(), base[23]]) for _ in range(4)]
+        else:  # each is two words further along the same text
+            more = base + [word() for _ in range(6)]
+            variants = [" ".join(more[2 * k : 2 * k + 24]) for k in range(4)]
+        rows += [(s * 10 + k, "\n".join([*variants[k : k + 1], " ".join(word() for _ in range(9))]), f"https://s{s}.test/{k}") for k in range(10)]
+    want = linked_lines(rows, 0.8)
+    found = repeated.repeated_lines(spark.createDataFrame(rows, "row_id long, text string, url string"), near=0.8).collect()
+    got = {(r.row_id, r.line_no) for r in found}
+    print("recall", len(got & want), "of", len(want))
+    assert len(want) == 160 and not got - want and len(got) >= 0.85 * len(want)
+    assert {r.rows for r in found} == {4}
