@@ -136,3 +136,10 @@ def test_near_lines_are_linked_before_rows_are_counted(spark):
     print("recall", len(got & want), "of", len(want))
     assert len(want) == 160 and not got - want and len(got) >= 0.85 * len(want)
     assert {r.rows for r in found} == {4}
+
+
+def test_texts_with_formulas_are_restored(spark, tmp_path):
+    texts = ["plain text", "Soit $x^2$ et $$a+b$$ fin", r"par \(n!\) et \[k\] ou \frac{1}{2}", "prix 5 $", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in registry.queries()["restore_math"](spark, str(tmp_path)).collect()}
+    assert {k: "".join(t.split()) for k, t in got.items()} == {k: "".join(t.split()) for k, t in enumerate(texts) if t is not None}
