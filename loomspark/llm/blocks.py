@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from itertools import chain
+
+import numpy as np
 
 HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
@@ -13,15 +16,15 @@ _SPACES = re.compile(r"[^\S\n]+")
 #: Stems and phrases that furniture uses, without accents, in several languages. Each begins
 #: at a word's start; those with a final | also end at a word's end.
 CUES = {
-    "consent": "cookie; traceur; temoin de connexion; temoins de connexion; consent; vie privee; confidentialite; donnees personnelles; mesure d'audience; preferences de suivi; usage de vos; tout accepter; tout refuser; continuer sans accepter; mes choix; j'ai compris; j'accepte; accept all; accept cookies; reject all; privacy; alle akzeptieren; datenschutz; akzeptieren; privacidad; aceptar; accetta; rgpd|; gdpr|; mes preferences; vos preferences; retire a tout moment; retirer a tout moment",
-    "account": "se connecter; connexion; identifiez; identifiant; mot de passe; creer un compte; mon compte; s'inscrire; inscrivez; deconnexion; sign in; log in; login; sign up; register; create an account; my account; password; anmelden; registrieren; konto|; iniciar sesion; registrarse; accedi|; registrati; devez etre membre; derniere visite; visiteur",
+    "consent": "cookie; temoin de connexion; traceur; j'ai compris; continuer sans accepter; consent; vie privee; confidentialite; donnees personnelles; mesure d'audience; tout accepter; tout refuser; mes choix; j'accepte; accept all; accept cookies; reject all; privacy; alle akzeptieren; datenschutz; akzeptieren; privacidad; aceptar; accetta; rgpd|; gdpr|; vos preferences",
+    "account": "se connecter; connexion; identifiez; identifiant; mot de passe; creer un compte; mon compte; s'inscrire; inscrivez; deconnexion; sign in; log in; login; sign up; register; create an account; my account; password; anmelden; registrieren; konto|; iniciar sesion; registrarse; accedi|; registrati; devez etre membre",
     "news": "newsletter; lettre d'information; lettre de; abonne|; abonnez; abonnement; m'abonne; s'abonner; adresse e-mail; adresse email; votre courriel; recevoir les; recevez; alertes; ne manquez; subscribe; subscription; abonnieren; rundbrief; suscrib; boletin; iscriviti; fil rss; rss|; faire un don; donate; spenden; sans engagement",
-    "share": "partager; partagez; partage|; partages|; j'aime; tweet; facebook; twitter; whatsapp; linkedin; envoyer a un ami; imprimer; version pdf; en pdf; copier le lien; signaler; share this; share on; print this; copy link; beitrag teilen; teilen|; drucken; compartir; condividi; suivez|; retrouvez-nous; follow us; faites-la connaitre; faites-le connaitre; vous a plu; noter ce; autour de vous; au quotidien sur",
-    "ads": "publicite; annonce|; annonces|; contenu sponsorise; sponsored content; sponsor; nos partenaires; partenaire; advertis; anzeige|; werbung; publicidad; pubblicita; vous offre; est offert",
-    "legal": "mentions legales; conditions generales d'utilisation; droit reserve; droits reserves; copyright; reproduction interdite; reproduction soumise; tous droits; plan du site; titre indicatif; n'engagent; heberge par; hebergee par; hebergement; site realise; all rights; terms of; imprint|; impressum; alle rechte; aviso legal; derechos reservados; diritti riservati; publication independante; commission de presse; enregistree aupres; non conforme|; accessibilite; sitemap; ©; (c)|",
-    "nav": "accueil|; menu|; navigation|; aller au contenu; passer au contenu; rechercher; recherche|; toutes les rubriques; nos categories; nos dossiers; categories|; rubrique; retour en haut; haut de page; page precedente; page suivante; precedent|; suivant|; vous etes ici; lire la suite; en savoir plus; voir plus; contact|; contacter; nous ecrire; qui sommes; a propos|; home|; back to top; skip to; next page; previous|; read more; about us; contact us; search|; startseite; nach oben; weiterlesen; kontakt|; suche|; uber uns; inicio|; leer mas; contacto|; leggi tutto; boutique|; forum|; agenda|; portail; se desabonner; lecture continue; suite apres; engagements|",
-    "related": "a lire; lire aussi; voir aussi; sur le meme; dans la meme; autres articles; articles recents; autres dossiers; les plus lus; plus lus; pourraient vous; notre selection; en ce moment; dernieres parutions; a decouvrir; decouvrez; you may also; related|; most read; recommended; see also; das konnte; mehr zum thema; auch interessieren; te puede interesar; potrebbe interessarti; tous les episodes; appartient a la serie; fait partie d; document prepare; pour le cycle; dossier «; serie «; mots-cles; mots cles; tag|; tags|; etiquettes; classe dans; schlagworter; filed under; etiquetas; popular articles; mediatheque",
-    "meta": "publie le; mis en ligne; mis a jour; mise a jour; modifie le; redige par; ecrit par; posted on; posted by; published; updated; written by; veroffentlicht; publicado; pubblicato; consulte; commentaire; reactions a; reponses a; replies to; comments|; comment|; kommentar; comentario; repondre|; reply|; a propos de l'auteur; l'auteur :; about the author; collabore; a rejoint l'equipe; vit a la campagne; enseigne depuis; anime pour; chroniques; repond volontiers; aux questions des lecteurs; writes about; lives by; minutes de lecture; min read; temps de lecture",
+    "share": "partager; partagez; partage|; partages|; j'aime; tweet; facebook; twitter; whatsapp; linkedin; envoyer a un ami; imprimer; version pdf; en pdf; copier le lien; signaler; share this; share on; print this; copy link; beitrag teilen; teilen|; drucken; compartir; condividi; suivez|; retrouvez-nous; follow us; vous a plu; noter ce",
+    "ads": "publicite; annonce|; annonces|; contenu sponsorise; sponsored content; sponsor; nos partenaires; partenaire; advertis; anzeige|; werbung; publicidad; pubblicita",
+    "legal": "mentions legales; conditions generales d'utilisation; droit reserve; droits reserves; copyright; toute reproduction; reproduction interdite; reproduction soumise; propriete intellectuelle; intellectual property; tous droits; plan du site; titre indicatif; n'engagent; heberge par; hebergee par; hebergement; site realise; all rights; terms of; imprint|; impressum; alle rechte; aviso legal; derechos reservados; diritti riservati; commission de presse; non conforme|; accessibilite; sitemap; ©; (c)|",
+    "nav": "accueil|; menu|; navigation|; aller au contenu; passer au contenu; rechercher; recherche|; toutes les rubriques; nos categories; nos dossiers; categories|; rubrique; retour en haut; haut de page; page precedente; page suivante; precedent|; suivant|; vous etes ici; lire la suite; en savoir plus; voir plus; contact|; contacter; nous ecrire; qui sommes; a propos|; home|; back to top; skip to; next page; previous|; read more; about us; contact us; search|; startseite; nach oben; weiterlesen; kontakt|; suche|; uber uns; inicio|; leer mas; contacto|; leggi tutto; boutique|; forum|; agenda|; portail; se desabonner",
+    "related": "a lire; lire aussi; voir aussi; sur le meme; dans la meme; autres articles; articles recents; autres dossiers; les plus lus; plus lus; pourraient vous; notre selection; en ce moment; dernieres parutions; a decouvrir; decouvrez; you may also; related|; most read; recommended; see also; das konnte; mehr zum thema; auch interessieren; te puede interesar; potrebbe interessarti; mots-cles; mots cles; tag|; tags|; etiquettes; classe dans; schlagworter; filed under; etiquetas; popular articles; mediatheque",
+    "meta": "publie le; ajoute le; poste le; mis en ligne; mis a jour; mise a jour; modifie le; redige par; ecrit par; posted on; posted by; published; updated; written by; veroffentlicht; publicado; pubblicato; consulte; commentaire; reponses a; replies to; comments|; comment|; kommentar; comentario; repondre|; reply|; a propos de l'auteur; l'auteur :; about the author; auteur de|; autrice de|; auteur du|; autrice du|; journaliste; redacteur; redactrice; blogueu; freelance; is the author; is a writer; is an editor; is a journalist; minutes de lecture; min read; temps de lecture",
 }
 _SHORT_CUE = re.compile(r"^(?:vue?|lue?) \d+ fois|\bfois depuis\b|^ref\. ?\d|^citer\W*$|^\d+ (?:vues|views|likes)\b")
 
@@ -57,18 +60,21 @@ def cue_hits(text: str) -> tuple[int, int]:
             spans.pop()
         spans.append((start, n))
     words = sum([n for _, n in spans])
-    if len(text) < 60 and _SHORT_CUE.search(text):
+    if len(text) < 60 and (text[-1].isdigit() or "fois" in text or "cit" in text or text[0].isdigit() or text.startswith("ref")) and _SHORT_CUE.search(text):
         kinds.add("meta")
         words += 1
     return len(kinds), words
 
 
-_ADDRESS = re.compile(r"\b(?:vous|votre|vos|you|your|sie|ihre?|usted|su cuenta|je|j'|m'|merci|please|bitte)\b|(?:^|\s)\w+ez\b")
+#: Words that speak to or of the reader or the writer, without accents.
+ADDRESS = "vous votre vos you your sie ihr ihre usted je merci please bitte".split()
+_ADDRESS = frozenset(a + w + z for w in ADDRESS for a in ("", "(", '"') for z in ("", ",", ".", ";", ":", "!", "?", ")", "...", "…"))
+_IMPERATIVE = re.compile(r"(?:^|\s)\w+ez\b")
 _DATE = re.compile(
     r"\b(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}(?:er|\.)? (?:janvier|fevrier|mars|avril|mai|juin|juillet|aout|septembre|octobre|novembre|decembre|januar|februar|marz|april|juni|juli|august|september|oktober|november|dezember|january|february|march|may|june|july|october|december|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)(?: \d{4})?|(?:january|february|march|april|may|june|july|august|september|october|november|december) \d{1,2},? \d{4})\b"
 )
-_BYLINE = re.compile(r"\b(?:par|by|von|por|di) [a-z]\. ?[a-z]|, (?:pour|for|fur) |\| [a-z]\. ")
-_SEPARATOR = re.compile(r"\s[|·•/›»>–—\\]\s|\s*\t\s*| {2,}|\s[»›>]\s?")
+_BYLINE = re.compile(r"\b(?:par|by|von|por|di) [a-z]\. ?[a-z]|(?:^|[|,–-] ?)(?:par|by|von|por|di) [a-z'-]+ [a-z'-]+(?: [a-z'-]+)?$|, (?:pour|for|fur) |\| [a-z]\. ")
+_SEPARATOR = re.compile(r"\s(?:[|·•/›»>–—\\]\s|\s*\t\s*|(?<=\t)\s*|(?<= ) +|[»›>])")
 _DASH = re.compile(r"\s[–—-]\s")
 _LEAD = re.compile(
     r"^\W{0,2}(?:lire aussi|voir aussi|a lire aussi|a lire|a voir|a decouvrir|lire la suite|sur le meme sujet|see also|read also|read more|siehe auch|mehr dazu|lea tambien|leggi anche)\s?:|"
@@ -78,26 +84,30 @@ _TRAIL = re.compile(r"(?:\(\d+\)|[→»›]|lire la suite ?(?:\.\.\.|…)?|read
 _HANDLE = re.compile(r"^\W{0,2}(?:[a-z][a-z.-]*[\d_]+\w*|[a-z]+_[a-z]\w*|@\w+)\s?: |^(?:de |from |@)[a-z]\w+ ")
 _MARK = re.compile(r"^(?:[-–—*•◦▪]|\(?\d{1,3}[.)]|\(?[a-z]\))\s")
 _STOP = re.compile(r"[.!?…][»\"”)\]\s]*(?:\[\d+\])?$")
-_WORD = re.compile(r"[^\W\d_]+")
+_MAY_PART = (" |", " ·", " •", " /", " ›", " »", " >", " –", " —", " \\", "\t", "  ")
+_TRAILS = (")", "]", "→", "»", "›", "...", "…", "lire la suite", "read more")
+_DIGIT = re.compile(r"\d")
+
 
+_COMBINING = re.compile("[̀-ͯ]+")
 
-def plain(line: str) -> str:
-    """A line without entities, invisible signs, accents and case, single-spaced except for wide gaps."""
-    if not line.isascii():
-        line = HIDDEN.sub("", line)
-    if "&" in line and _ENTITY.search(line):
-        line = HIDDEN.sub("", html.unescape(line)).replace("\n", " ")
-    if not line.isascii():
-        line = _COMBINING.sub("", unicodedata.normalize("NFKD", line.replace("’", "'")))
-    return line.lower().strip()
+
+def plain(lines: list[str]) -> list[str]:
+    """Lines without entities, invisible signs, accents and case, single-spaced except for wide gaps; all brought over at once."""
+    for k, line in enumerate(lines):
+        if "&" in line and _ENTITY.search(line):
+            lines[k] = html.unescape(line).replace("\n", " ")
+    text = "\n".join(lines)
+    if not text.isascii():
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", HIDDEN.sub("", text).replace("’", "'")))
+    return [line.strip() for line in text.lower().split("\n")]
 
 
-_COMBINING = re.compile("[\u0300-\u036f]+")
 _SHAPE = [(re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"), (re.compile(r"\s+"), " ")]
 
 
 def shape(text: str) -> str:
-    """What kinds of signs open a line: words a, numbers 9, the rest as it is; 12 of its first 60 signs' kinds."""
+    """What kinds of signs open a line: words a, numbers 9, the rest as it is; the kinds of its first 60 signs, 12 at most."""
     text = text[:60]
     for pattern, sign in _SHAPE:
         text = pattern.sub(sign, text)
@@ -107,112 +117,181 @@ def shape(text: str) -> str:
 _COLUMNS = re.compile(r"(?<=\S) {3,}(?=\S)")
 #: The order of a line's own features; those of the page around it follow, see page_features.
 OWN = ("words", "stop", "link", "cue", "cue_share", "address", "date", "byline", "digits", "mark", "handle", "sign", "upper")
-#: From so many words on a line is a paragraph whose words need no closer look.
+#: Lines of so many words have one shape, "long": what signs open a paragraph says nothing of it. All other features are theirs as any line's.
 LONG = 28
-_LONG_FEATURES = ([60.0, 1.0] + [0.0] * 11, "long")
+#: A date, a byline or a counter in a line of more words is part of what the line says.
+LABEL = 18
 
 
-def own_features(text: str) -> tuple[list[float], str]:
-    """OWN features of a line given by plain(), and its shape."""
+def own_features(text: str, upper: bool = False) -> tuple[tuple[float, ...], str]:
+    """OWN features of a line given by plain(), and its shape. Every sign of the line counts, however long it is."""
     words = text.split()
-    n = len(words)
-    if len(text) > 12 * n + 30 and not text.isascii():
-        n = max(n, len(text) // 4)  # a script without spaces
-    if n >= LONG:
-        return _LONG_FEATURES
+    n, size = len(words), len(text)
+    ascii_ = text.isascii()
+    if size > 12 * n + 30 and not ascii_:
+        n = max(n, size // 4)  # a script without spaces
     wide = text.count("  ")
     if wide and n > 2 and wide >= n - 1 and max(map(len, re.findall(" +", text))) == 2:
         text, wide = " ".join(words), 0  # single words, each two blanks apart, are one piece
-    digits = sum(map(str.isdigit, text)) / max(len(text) - text.count(" "), 1)
-    pieces = [p for p in _SEPARATOR.split(text) if p and p.strip()] if n < 20 else [text]
+    number = sum(map(text.count, "0123456789")) if ascii_ else len(_DIGIT.findall(text))
+    digits = number / max(size - text.count(" "), 1)
+    pieces: list[str] | tuple[str] = (text,)
+    for sign in _MAY_PART:
+        if sign in text:
+            pieces = [p for p in _SEPARATOR.split(text) if p and p.strip()]
+            break
+    bar = text[0] == "|"
     many = len(pieces) >= 2 and n / len(pieces) <= 4
-    cells = many and digits > 0.1 or text.startswith("|")
+    cells = many and digits > 0.1 or bar
     if many and len(pieces) >= 3 and not cells:
         link = 1.0
-    elif n < 25 and not text.startswith("|") and (_LEAD.match(text) or _TRAIL.search(text)):
+    elif not bar and (_LEAD.match(text) or text.endswith(_TRAILS) and (n < LONG or text[-1] != ")") and _TRAIL.search(text, max(0, size - 60))):
         link = 0.9
     else:
         link = 0.5 if len(pieces) >= 2 and n <= 14 and not cells and not (len(pieces) == 2 and _DASH.search(text)) else 0.0
     kinds, hit = cue_hits(text)
-    real = max(1, sum([any(map(str.isalnum, w)) for w in words]))
+    real = max(1, sum([w.isalnum() or any(map(str.isalnum, w)) for w in words])) if n < LONG else n
     share = min(1.0, hit / real)
-    address = min(3, len(_ADDRESS.findall(text)))
-    date, byline, handle = real <= 18 and digits > 0 and bool(_DATE.search(text)), real <= 18 and bool(_BYLINE.search(text)), bool(_HANDLE.match(text))
+    address = len(_ADDRESS.intersection(words)) + (" j'" in text or text.startswith("j'")) + (" m'" in text)
+    if "ez" in text and _IMPERATIVE.search(text):
+        address += 1
+    date = byline = False
+    if real <= LABEL:
+        date, byline = number > 0 and bool(_DATE.search(text)), ("." in text or ", " in text or n <= 10 and ("par " in text or "by " in text or "von " in text or "por " in text or "di " in text)) and bool(_BYLINE.search(text))
+    handle = (": " in text or text.startswith(("de ", "from ", "@"))) and bool(_HANDLE.match(text))
     sign = (link >= 0.9) + (share >= 0.45) + (address > 0 and kinds > 0) + (date and (byline or kinds > 0)) + (kinds >= 3) + handle
-    return [
-        float(n), float(n > 3 and bool(_STOP.search(text))), link, float(kinds), share, float(address), float(date), float(byline), digits,
-        float(bool(_MARK.match(text))), float(handle), float(sign), 0.0,
-    ], "columns|" if text.count("\t") >= 2 or len(_COLUMNS.findall(text)) >= 2 else shape(text)
+    if n >= LONG:
+        form = "long"
+    else:
+        form = "columns|" if text.count("\t") >= 2 or wide and len(_COLUMNS.findall(text)) >= 2 else shape(text)
+    return (
+        float(min(n, 60)), float(n > 3 and (text[-1] in ".!?…" or text[-1] in "»\"”)]" and _STOP.search(text, max(0, size - 40)) is not None)), link, float(kinds), share, float(min(address, 3)), float(date),
+        float(byline), digits, float(_MARK.match(text) is not None), float(handle), float(sign), float(upper),
+    ), form
 
 
 #: Features of a line's surroundings, after OWN.
 AROUND = ("body", "run", "short_run", "before_words", "after_words", "before_link", "after_link", "links", "to_body_before", "to_body_after")
 NAMES = OWN + AROUND
 
-
 #: Lines whose features a worker remembers (furniture repeats); it forgets all when full. No effect on results.
-CACHE_LINES = 50_000
-_seen: dict[str, tuple[list[float], str] | None] = {}
+CACHE_LINES = 100_000
+_seen: dict[str, tuple[tuple[float, ...], int] | None] = {}
+_forms: dict[str, int] = {"columns|": 0}
+_telling: list[bool] = [True]  # of a form's number: whether it has more than words and blanks
+
 
+def _form_number(form: str) -> int:
+    k = _forms.get(form)
+    if k is None:
+        k = _forms[form] = len(_forms)
+        _telling.append(bool(form.strip("a ")))
+    return k
 
-def _line(line: str) -> tuple[list[float], str] | None:
-    if len(line) > 120 and len(line.split(None, LONG)) >= LONG:
-        f, s = _LONG_FEATURES
+
+def _describe(lines: list[str]) -> dict[str, tuple[tuple[float, ...], int] | None]:
+    """OWN features and number of the form of each line, None for one without visible signs."""
+    if len(_seen) + len(lines) > CACHE_LINES or len(_forms) > CACHE_LINES:
+        _seen.clear()
+    out = {}
+    new = []
+    for line in lines:
+        found = _seen.get(line, 0)
+        if found == 0:
+            new.append(line)
+        else:
+            out[line] = found
+    for line, text in zip(new, plain(list(new)) if new else ()):
+        if text and not text.isspace():
+            f, form = own_features(text, len(line) > 4 and line.isupper())
+            got = (f, _form_number(form))
+        else:
+            got = None
+        out[line] = got
+        if len(line) <= 120:
+            _seen[line] = got
+    return out
+
+
+def _shifted(a: np.ndarray, by: int, same: np.ndarray, fill: float) -> np.ndarray:
+    """a moved by one place (1: each line sees the line before, -1: the line after), `fill` at a page's edge."""
+    out = np.full(len(a), fill, a.dtype)
+    if by > 0:
+        out[1:][same[1:]] = a[:-1][same[1:]]
     else:
-        text = plain(line)
-        if not text or text.isspace():
-            return None
-        f, s = own_features(text)
-    if len(line) > 4 and line.isupper():
-        f = f[:-1] + [1.0]
-    return f, s
+        out[:-1][same[1:]] = a[1:][same[1:]]
+    return out
 
 
-def page_features(lines: list[str]) -> tuple[list[int], list[list[float]]]:
-    """For the lines with visible signs: their numbers and features OWN + AROUND. Linear in the page."""
-    numbers, own, shapes = [], [], []
-    for k, line in enumerate(lines):
-        if len(line) > 120:
-            found = _line(line)
-        elif (found := _seen.get(line, 0)) == 0:
-            if len(_seen) >= CACHE_LINES:
-                _seen.clear()
-            found = _seen[line] = _line(line)
-        if found:
-            numbers.append(k)
-            own.append(found[0])
-            shapes.append(found[1])
-    n = len(own)
-    run, short = [1] * n, [0] * n
-    for i in range(1, n):
-        if shapes[i] == shapes[i - 1] and shapes[i].strip("a "):
-            run[i] = run[i - 1] + 1
-        small = own[i - 1][0] <= 3 and not own[i - 1][1] and own[i - 1][8] == 0 and not own[i - 1][3]
-        short[i] = short[i - 1] + 1 if small else 0
-    place = run[:]
-    for i in range(n - 2, -1, -1):
-        if place[i + 1] > 1:  # the next line goes on with this one's run
-            run[i] = run[i + 1]
-    for i in range(n):
-        if shapes[i] == "columns|" and run[i] >= 4 and not own[i][3]:  # rows of a table, not a menu's gaps
-            own[i] = own[i][:2] + [0.0] + own[i][3:11] + [0.0] + own[i][12:]
-    ahead = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        small = own[i][0] <= 3 and not own[i][1] and own[i][8] == 0 and not own[i][3]
-        ahead[i] = ahead[i + 1] + 1 if small else 0
+def batch_features(pages: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each page the numbers of its lines with visible signs, and the features OWN + AROUND of all of them in order. Linear."""
+    flat = list(chain.from_iterable(pages))
+    distinct = list(dict.fromkeys(flat))
+    if len(_forms) > CACHE_LINES:  # forms are numbered for this batch and the cache alone
+        _seen.clear()
+        _forms.clear()
+        _forms["columns|"] = 0
+        del _telling[1:]
+    described = _describe(distinct)
+    rows, place, at = [], {}, 0
+    for line, got in described.items():
+        if got is None:
+            place[line] = -1
+        else:
+            place[line] = at
+            rows.append(got)
+            at += 1
+    index = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+    sizes = np.array([len(p) for p in pages], np.int64)
+    page_of = np.repeat(np.arange(len(pages)), sizes)
+    line_no = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    seen = index >= 0
+    index, page_of, line_no = index[seen], page_of[seen], line_no[seen]
+    n = len(index)
+    counts = np.bincount(page_of, minlength=len(pages)) if len(pages) else np.zeros(0, np.int64)
+    numbers = np.split(line_no, np.cumsum(counts)[:-1]) if len(pages) else []
+    if not n:
+        return numbers, np.zeros((0, len(NAMES)))
+    own = np.array([r[0] for r in rows])[index]
+    form = np.array([r[1] for r in rows], np.int64)[index]
+    words, stop, link, kinds, share, digits = own[:, 0], own[:, 1], own[:, 2], own[:, 3], own[:, 4], own[:, 8]
+    same = np.zeros(n, bool)  # the line before is of the same page
+    same[1:] = page_of[1:] == page_of[:-1]
+    goes_on = np.zeros(n, bool)
+    goes_on[1:] = same[1:] & (form[1:] == form[:-1]) & np.array(_telling)[form[1:]]
+    part = np.cumsum(~goes_on) - 1
+    run = np.bincount(part)[part]
+    small = (words <= 3) & (stop == 0) & (digits == 0) & (kinds == 0)
+    turn = np.ones(n, bool)
+    turn[1:] = ~same[1:] | (small[1:] != small[:-1])
+    part = np.cumsum(turn) - 1
+    short_run = np.where(small, np.bincount(part)[part], 0)
+    table = (form == 0) & (run >= 4) & (kinds == 0)  # rows of a table, not a menu's gaps
+    own[table, 2] = own[table, 11] = 0.0
     # body: long text without the signs of furniture, or a run of lines of one make (a list, a table)
-    body = [(f[0] >= 10 and f[3] + f[4] * 4 < 1.6 and f[2] < 0.9) or (run[i] >= 4 and f[0] >= 2 and f[4] < 0.34) or (short[i] + ahead[i] >= 8 and ahead[i] and not f[3]) for i, f in enumerate(own)]
-    before, after = [9] * n, [9] * n
-    for i in range(1, n):
-        before[i] = 1 if body[i - 1] else min(9, before[i - 1] + 1)
-    for i in range(n - 2, -1, -1):
-        after[i] = 1 if body[i + 1] else min(9, after[i + 1] + 1)
-    out = []
-    for i, f in enumerate(own):
-        p, q = (own[i - 1] if i else None), (own[i + 1] if i + 1 < n else None)
-        out.append(f + [
-            float(body[i]), float(min(run[i], 8)), float(min(12, short[i] + ahead[i])) if ahead[i] else 0.0, min(p[0], 20.0) if p else 0.0, min(q[0], 20.0) if q else 0.0,
-            max(p[2], min(1.0, p[4] * 2)) if p else 1.0, max(q[2], min(1.0, q[4] * 2)) if q else 1.0,
-            float(sum([own[k][2] >= 0.9 for k in (i - 2, i - 1, i + 1, i + 2) if 0 <= k < n])), float(before[i]), float(after[i]),
-        ])
-    return numbers, out
+    body = ((words >= 10) & (kinds + share * 4 < 1.6) & (link < 0.9)) | ((run >= 4) & (words >= 2) & (share < 0.34)) | (short_run >= 8)
+    where = np.arange(n)
+    first = np.maximum.accumulate(np.where(same, 0, where))
+    last = np.maximum.accumulate(np.where(body, where, -1))
+    last = np.concatenate([[-1], last[:-1]])
+    before = np.where(last >= first, np.minimum(9, where - last), 9)
+    back = np.concatenate([same[1:], [False]])  # the line after is of the same page
+    end = np.minimum.accumulate(np.where(back, n, where)[::-1])[::-1]
+    following = np.minimum.accumulate(np.where(body, where, 2 * n)[::-1])[::-1]
+    following = np.concatenate([following[1:], [2 * n]])
+    after = np.where(following <= end, np.minimum(9, following - where), 9)
+    capped, linked = np.minimum(words, 20.0), np.maximum(link, np.minimum(1.0, share * 2))
+    is_link = (link >= 0.9).astype(float)
+    up, down = _shifted(is_link, 1, same, 0.0), _shifted(is_link, -1, same, 0.0)
+    links = up + down + _shifted(up, 1, same, 0.0) + _shifted(down, -1, same, 0.0)
+    around = [
+        body, np.minimum(run, 8), np.minimum(short_run, 12), _shifted(capped, 1, same, 0.0), _shifted(capped, -1, same, 0.0),
+        _shifted(linked, 1, same, 1.0), _shifted(linked, -1, same, 1.0), links, before, after,
+    ]
+    return numbers, np.column_stack([own, *around])
+
+
+def page_features(lines: list[str]) -> tuple[list[int], list[list[float]]]:
+    """batch_features of one page, as lists."""
+    numbers, x = batch_features([lines])
+    return numbers[0].tolist(), x.tolist()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
-from .blocks import LONG, page_features
+from .blocks import batch_features
 from .boilerplate_labels import pages
 from .textstats import is_junk
 from .tree import Forest
@@ -25,34 +25,29 @@ _model: list[Forest] = []
 def classifier() -> Forest:
     """The forest of the labelled table; grown once a process, in a fraction of a second."""
     if not _model:
-        x, y = [], []
-        for lines, labels in pages():
-            numbers, features = page_features(lines)
-            x += features
-            y += [labels[k] for k in numbers]
-        _model.append(Forest(25, 9, 2).fit(np.array(x), np.array(y)))
+        marked = pages()
+        numbers, x = batch_features([lines for lines, _ in marked])
+        y = [labels[k] for n, (_, labels) in zip(numbers, marked) for k in n.tolist()]
+        _model.append(Forest(25, 9, 2).fit(x, np.array(y)))
     return _model[0]
 
 
 def furniture_of(texts: list[str | None], keep_junk: bool = True) -> list[tuple[list[str], list[int], np.ndarray]]:
     """For each text its lines, the numbers of those with visible signs and which of these are furniture.
 
-    All lines of the batch are classified at once. A line of LONG words is main body whatever stands around it.
+    All lines of the batch are described and classified at once, long ones as any others.
     A text that is junk throughout has no furniture (keep_junk).
     """
     split = [t.split("\n") if t else [] for t in texts]
-    found = [page_features(lines) for lines in split]
-    sizes = [len(n) for n, _ in found]
-    if not sum(sizes):
-        return [(lines, n, np.zeros(0, bool)) for lines, (n, _) in zip(split, found)]
-    x = np.array([f for _, fs in found for f in fs])
-    flag = (classifier().predict(x) > 0.5) & (x[:, 0] < LONG)
+    found, x = batch_features(split)
+    flag = classifier().predict(x) > 0.5 if len(x) else np.zeros(0, bool)
     out, at = [], 0
-    for lines, (numbers, _), size in zip(split, found, sizes):
-        mine = flag[at : at + size]
-        at += size
+    for lines, numbers in zip(split, found):
+        mine = flag[at : at + len(numbers)]
+        at += len(numbers)
+        numbers = numbers.tolist()
         if keep_junk and mine.any() and is_junk([lines[k] for k in numbers]):
-            mine = np.zeros(size, bool)
+            mine = np.zeros(len(numbers), bool)
         out.append((lines, numbers, mine))
     return out
 

@@ -1,6 +1,6 @@
 """The labelled table of the boilerplate classifier: invented pages, each line marked + (main body) or - (furniture).
 
-It has under 400 lines and is the only thing the tree is trained on.
+It has under 420 lines and is the only thing the trees are trained on.
 """
 
 PAGES = """
@@ -155,7 +155,6 @@ PAGES = """
 - À découvrir : Le carnet de comptes d'un meunier
 - L'auteur : J. Vidal enseigne le droit et collabore à cette revue depuis dix ans.
 - Cet article fait partie du dossier « Commerce et loi » proposé par la rédaction.
-- Tous les épisodes du dossier sont à retrouver dans notre médiathèque.
 - J'aime 12
 - Citer
 - Site réalisé par l'atelier Dubreuil, version 4
@@ -181,7 +180,6 @@ PAGES = """
 - odile07 : Une coquille au deuxième paragraphe, me semble-t-il.
 - paul12 : Bonjour, et pour une haie ronde ?
 - Vous devez être membre pour répondre.
-- Dernière visite : 03/05/2020
 - Nos autres cours
 - Les fractions – lire la suite...
 - → Les pourcentages
@@ -199,7 +197,6 @@ PAGES = """
 - Le son dans l'eau
 - 7 partages
 
-- Bonjour visiteur
 - Boutique
 - Passer au contenu
 - Nos engagements de confidentialité ont changé : choisissez vos préférences.
@@ -211,9 +208,7 @@ PAGES = """
 - PLAN DU SITE – CONTACT – ACCESSIBILITÉ : PARTIELLE
 - Faire un don à l'association
 - Recevoir les alertes des Amis de la Halle
-- Cette page vous a plu ? Parlez-en autour de vous !
 - En ce moment sur le site
-- Les Amis de la Halle est une publication associative enregistrée à la préfecture sous le numéro 12.
 - Reproduction interdite sans l'accord de l'association.
 
 - Identifiant oublié ?
@@ -233,7 +228,6 @@ PAGES = """
 - Mis à jour le 7 juin 2019 à 10h12
 - Commentaires fermés
 - Découvrez aussi nos ateliers du samedi
-- Au XXe siècle, M. Leroy a tenu une boulangerie avant d'écrire ses chroniques.
 - Page suivante : Le levain
 
 - Par M. Sorel, le 3/4/2015
@@ -335,7 +329,6 @@ PAGES = """
 + Vers 1900, près de Dijon, un chimiste en fit une règle, et son carnet montre déjà deux colonnes pour chaque essai, l'une pour le témoin.
 + Leçon 7 : le tube et le ballon
 + Le ballon supporte la flamme mieux que le tube, car son verre est plus mince et sa forme répartit la chaleur sur toute la paroi.
-- Votre lecture continue après la publicité
 + On le remplit au tiers.
 - Lire aussi : Leçon 9 : la pesée sans balance au laboratoire du lycée
 + Le bouchon ne doit jamais être serré pendant le chauffage, sinon la vapeur le projette à travers la salle.
@@ -345,8 +338,6 @@ PAGES = """
 - » Le papier filtre (7)
 - Peser sans balance (12)
 - À propos de l'auteur : C. Perrin collabore à plusieurs revues et prépare un livre de fiches.
-- Vous pouvez retirer votre accord à tout moment.
-- N. Faure enseigne depuis vingt ans et anime pour la revue des ateliers ouverts à tous les curieux de la région.
 - Les alertes du laboratoire
 
 - À la une
@@ -355,7 +346,8 @@ PAGES = """
 - Calcul et mémoire : l'exemple de Turing
 - → La table et l'index – lire la suite...
 + Calcul et mémoire : l'exemple de Turing
-- Par A. Weber, le 14 juin 2012
+- Par Antoine Weber, le 14 juin 2012
+- Par Antoine Weber
 + Une machine lit une case, écrit un signe, puis avance ou recule : rien de plus ne lui est permis, et cela suffit pour tout calcul connu.
 - À découvrir : Pourquoi étudier la table de calcul de Babbage en classe de seconde
 + La bande
@@ -377,7 +369,8 @@ PAGES = """
 + A knife kept warm in water, a sieve and a row of clean jars are all that a small keeper needs on the day.
 - Accept all
 - We use cookies to improve your visit.
-- Written by T. Shaw, who keeps bees and writes about gardens.
+- By Tom Shaw
+- Written by T. Shaw, a freelance journalist with a garden of his own.
 - Read more
 - Bees in winter
 - Reply
@@ -429,6 +422,27 @@ PAGES = """
 - Le Courrier des marais : le site des curieux
 - Très bel article, merci !
 - Abonné depuis 2011, je ne reçois plus rien depuis un mois.
+
+- Nous utilisons, avec nos partenaires, des cookies et des technologies similaires pour consulter des informations sur votre appareil, mesurer l'audience du site et vous proposer des contenus adaptés à vos centres d'intérêt. Vous pouvez modifier vos choix en bas de page.
+- Accueil | Recettes | Entrées | Plats | Desserts | Boissons | Techniques | Vidéos | Forum | Boutique | Livres | Concours | Partenaires | Qui sommes-nous | Contact
++ Le moulin à café
++ Le moulin à manivelle broie les grains entre deux meules d'acier dont l'écart se règle par une vis ; plus elles sont proches, plus la mouture est fine et plus le café est fort, mais l'eau passe alors lentement et le goût devient amer.
++ La loi impose à tout éditeur de demander l'accord du lecteur avant de déposer un cookie sur son ordinateur, et les juges ont précisé que cet accord doit être donné par un acte clair et non par une case déjà cochée.
++ Le journal vivait de la publicité et des abonnements : en 1905, plus de la moitié de ses recettes venaient des annonces, et le directeur écrivait chaque mois aux lecteurs pour leur vanter les mérites de la nouvelle imprimerie.
+- Vous aimez nos articles ? Inscrivez-vous gratuitement à notre newsletter et recevez chaque semaine le meilleur du site dans votre boîte mail ; il vous suffit d'indiquer votre adresse e-mail ci-dessous et de confirmer votre inscription.
+- À propos de l'auteur : Claire Martin est journaliste et autrice de plusieurs ouvrages sur l'histoire de la table ; elle partage ses recettes sur son blog depuis plus de dix ans et répond à toutes vos questions dans les commentaires.
+- sophie_33 : Bonjour, j'ai suivi votre méthode le week-end dernier avec mes enfants et le résultat était très réussi, merci beaucoup pour toutes ces explications, je vais essayer la deuxième version dès que possible !
+- Les informations recueillies sur ce formulaire font l'objet d'un traitement destiné à répondre à votre demande ; conformément à la loi, vous disposez d'un droit d'accès et de suppression de vos données personnelles en écrivant à notre service, dont l'adresse figure dans les mentions légales.
+- Toute reproduction, même partielle, des textes et des photographies de ce site est interdite sans l'autorisation écrite de l'éditeur ; les marques et logos cités sont la propriété de leurs détenteurs respectifs. Tous droits réservés.
+- À lire aussi : Choisir son café en grains selon la région, l'altitude et le mode de torréfaction : notre guide complet pour les débutants comme pour les amateurs plus exigeants qui veulent aller plus loin
+
+- We and our partners use cookies and similar technologies to store information on your device, measure how our pages are used and show you relevant advertising; by clicking "Accept all" you agree to our privacy policy, which you can read at any time.
++ Pruning an old pear tree
++ Start with the dead wood, then take out the branches that cross or rub, and leave the rest for the following winter, since a tree that loses too much at once answers with a thicket of thin shoots that never bear fruit.
++ You will need a sharp saw, a ladder that stands firmly on soft ground and somebody to hold it, because most accidents in the garden happen on the second or third rung while reaching a little further than one should.
+- Enjoyed this story? Subscribe to our free weekly newsletter and get new guides, seasonal tips and special offers from our partners delivered straight to your inbox; you can unsubscribe whenever you like by following the link in the email.
+- Anna Reed is a writer and garden designer based in Kent, the author of three books on orchards and a regular guest on local radio, and she is happy to answer your questions in the comments below.
+- No part of this website may be reproduced or transmitted in any form without the prior written permission of the publisher; see our terms of use and privacy policy. Copyright and all other rights in the pictures remain with the photographers. All rights reserved.
 """.strip().split("\n\n")
 
 

@@ -1,8 +1,9 @@
 """Statistics of a text that tell running prose from lists, tables and junk.
 
 A text's counts are a monoid: a chunk of a text gives the counts of the lines it holds whole, plus an open
-first and an open last line, and `merge` closes the line (and the word) that the cut went through. Huge
-texts are cut into chunks, counted apart and merged by a tree of two levels; others are one chunk.
+first and an open last line, and `merge` closes the line (and the word) that the cut went through. Texts longer
+than a chunk are cut, counted chunk by chunk and merged by a tree; of huge ones the parts are counted by tasks of
+their own, and the tree goes on over tasks. An open line may be as long as its text.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ from ..runtime import ship
 from .sentences import FUNCTION_WORDS
 
 #: Characters of a chunk. Cuts fall anywhere; results do not depend on it.
-CHUNK = 1_000_000
-#: An open line longer than this at a chunk's edge is counted as a line of its own (one that long is no list item).
-OPEN = 10_000
+CHUNK = 8_192
+#: Characters of the parts of a huge text that go to tasks of their own.
+SPREAD = 1_000_000
 
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _MARK = re.compile(r"^\s*(?:[-–—*•◦▪·]|\(?\d{1,3}[.)]|\(?[A-Za-z]\))\s+\S")
@@ -49,7 +50,8 @@ FURTHER_WORDS = frozenset(
 _FUNCTION = FURTHER_WORDS.union(*FUNCTION_WORDS.values())
 
 LIST, TABLE, JUNK, PROSE, SHORT = range(5)
-#: A text of so many distinct words is no repetition of a few; beyond, they need not be told apart.
+#: A text is a repetition of a few words if it has fewer distinct ones than this (and many words each). Words beyond
+#: that number are not remembered, since they cannot change the answer.
 DISTINCT = 60
 #: Sums that a text's counts hold, in this order; then a Counter of shapes and one of words.
 SUMS = ("lines", "words", "letters", "chars", "symbols", "digits", "stops", "common", "c_list", "c_table", "c_junk", "c_prose", "c_short", "n_short", "function", "latin")
@@ -68,31 +70,39 @@ def line_shape(line: str) -> str:
 
 
 def line_kind(line: str, words: list[str], common: int, beyond: bool = True, broken: bool = True) -> int:
-    """What a line looks like by itself; beyond, broken: whether its text has signs beyond Latin script, or of a wrong encoding."""
+    """What a line looks like by itself; beyond, broken: whether its text has signs beyond Latin script, or of a wrong encoding.
+
+    Every line goes through all tests. Counts that only bound what a pattern can find are taken first, and the pattern
+    is run where the bound does not settle the test.
+    """
     n, size = len(words), len(line)
     if beyond and _SPACELESS.search(line):
         return PROSE if size >= 12 else SHORT
     if broken and len(_MOJIBAKE.findall(line)) * 12 > size:
         return JUNK
-    if n > 16 and common * 5 > n:
-        return PROSE
     letters = sum(map(len, words))
     ink = size - line.count(" ") - line.count("\t")
     if size > 8 and letters * 10 < ink * 3 and (letters + len(_DIGIT.findall(line))) * 10 < ink * 3:
         return JUNK
-    cells = len(_CELLS.findall(line))
-    if cells >= 2 and common * 5 <= n and (n + line.count(".") + 2) <= 7 * (cells + 1):
-        return TABLE
+    semicolons, bars = line.count(";"), line.count("|")
+    if common * 5 <= n and (semicolons + bars + line.count("\t") + line.count(",") - line.count(", ") >= 2 or "   " in line):
+        cells = len(_CELLS.findall(line))
+        if cells >= 2 and (n + line.count(".") + 2) <= 7 * (cells + 1):
+            return TABLE
     if letters * 10 < ink * 5 and size > 8 and not _MARK.match(line):
         return JUNK
-    longest = max(map(len, line.split()), default=0)
-    if longest > 35 and longest * 2 > ink or _URL.match(line.strip()) and n < 12:
+    if ink > 35:
+        longest = max(map(len, line.split()))
+        if longest > 35 and longest * 2 > ink:
+            return JUNK
+    if n < 12 and ("://" in line or "www." in line) and _URL.match(line.strip()):
         return JUNK
     if n <= 16 and _MARK.match(line):
         return LIST
-    between = len(_BETWEEN.findall(line))
-    if between >= 4 and n <= 7 * (between + 1):
-        return LIST
+    if semicolons + bars + line.count("•") + line.count("·") + line.count("/") + line.count(" - ") >= 4:
+        between = len(_BETWEEN.findall(line))
+        if between >= 4 and n <= 7 * (between + 1):
+            return LIST
     if n <= 3:
         return SHORT
     return PROSE
@@ -173,21 +183,26 @@ def verdict(s: list[float], shapes: Counter, distinct: int) -> dict:
 
 
 def is_junk(lines: list[str]) -> bool:
-    """Whether nearly every line of a page is something no reader could read."""
-    if len(_FUNCTION.intersection(max(lines, key=len).lower().split())) >= 3:
-        return False  # the longest line has the little words of a sentence
-    first = lines[: len(lines) // 2 + 1]
-    kinds: Counter = Counter()
-    for line in first:  # junk throughout shows in any half; prose ends the look early
-        words = _PARTS.findall(line)
-        kinds[line_kind(line, words, 0)] += 1
-        if kinds[PROSE] > 6 and kinds[JUNK] == 0:
+    """Whether four lines in five of a page, wherever they stand, are something no reader could read, or it repeats under 20 words.
+
+    The look ends early only once the lines left cannot change the answer.
+    """
+    may_be = len(lines) // 5  # lines of other kinds that still leave four in five
+    others = 0
+    for line in lines:
+        others += line_kind(line, _PARTS.findall(line), 0) != JUNK
+        if others > may_be:
             break
-    if kinds[JUNK] * 10 >= sum(kinds.values()) * 8:
-        rest = [line_kind(x, _PARTS.findall(x), 0) for x in lines]
-        return rest.count(JUNK) * 10 >= len(rest) * 8
-    low = [w for x in lines for w in _PARTS.findall(x.lower())]
-    return len(low) >= 30 and len(set(low)) * 20 < len(low) * 3 and len(set(low)) < 20
+    else:
+        return True
+    words, distinct = 0, set()
+    for line in sorted(lines, key=len, reverse=True):
+        low = _PARTS.findall(line.lower())
+        words += len(low)
+        distinct.update(low)
+        if len(distinct) >= 20:
+            return False
+    return words >= 30 and len(distinct) * 20 < words * 3
 
 
 class State:
@@ -247,6 +262,14 @@ class State:
         return self
 
 
+def counted(text: str, vocabulary: frozenset[str], chunk: int) -> State:
+    """The open state of a text: its chunks' states, neighbours merged pair by pair until one is left."""
+    states = [State(text[i : i + chunk], vocabulary) for i in range(0, max(len(text), 1), chunk)]
+    while len(states) > 1:
+        states = [states[i].merge(states[i + 1], vocabulary) if i + 1 < len(states) else states[i] for i in range(0, len(states), 2)]
+    return states[0]
+
+
 OUT = T.StructType([
     T.StructField("n_lines", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_chars", T.LongType()),
     T.StructField("mean_word_length", T.DoubleType()), T.StructField("symbol_ratio", T.DoubleType()), T.StructField("digit_ratio", T.DoubleType()),
@@ -268,12 +291,15 @@ def common_vocabulary(words: DataFrame, word_col: str = "word", limit: int = 10_
     return frozenset(found | {"".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)) for w in found})
 
 
-def text_statistics(df: DataFrame, vocabulary: frozenset[str], id_col: str = "row_id", text_col: str = "text", chunk: int = CHUNK, body_only: bool = False) -> DataFrame:
+def text_statistics(
+    df: DataFrame, vocabulary: frozenset[str], id_col: str = "row_id", text_col: str = "text", chunk: int = CHUNK, body_only: bool = False, spread: int = SPREAD
+) -> DataFrame:
     """(id, measures, kind) of each row; kind is prose, list, table, junk or empty.
 
     Null, empty and blank texts have zero counts and kind `empty`. Rows that repeat give equal rows; a null id
-    is kept. With body_only the page furniture is taken away first. Texts of up to `chunk` characters are
-    counted where they lie; longer ones are cut, counted in parallel and merged by a tree.
+    is kept. With body_only the page furniture is taken away first. Texts are counted by chunks of `chunk` characters;
+    those of up to `spread` characters where they lie, of longer ones the parts of `spread` characters travel to tasks of
+    their own and the states of the parts are merged by groups of 32, then all.
     """
     spark = df.sparkSession
     ship(spark)
@@ -282,6 +308,14 @@ def text_statistics(df: DataFrame, vocabulary: frozenset[str], id_col: str = "ro
     id_field = T.StructField("id", picked.schema["id"].dataType)
     names = [f.name for f in OUT]
 
+    def count(lines: list[str], v: frozenset[str]) -> dict:
+        if sum(map(len, lines)) + len(lines) - 1 <= chunk:
+            s, shapes, words = count_lines(lines, v)
+        else:
+            state = counted("\n".join(lines), v, chunk).close(v)
+            s, shapes, words = state.sums, state.shapes, state.words
+        return verdict(s, shapes, len(words))
+
     def whole(batches):
         from .boilerplate import _parts, furniture_of
 
@@ -293,49 +327,57 @@ def text_statistics(df: DataFrame, vocabulary: frozenset[str], id_col: str = "ro
                     pages = [[lines[k] for k, f in zip(numbers, flag.tolist()) if not f] for lines, numbers, flag in furniture_of(texts[a:b])]
                 else:
                     pages = [(t or "").split("\n") for t in texts[a:b]]
-                found = [verdict(s, shapes, len(w)) for s, shapes, w in (count_lines(p, v) for p in pages)]
+                found = [count(p, v) for p in pages]
                 columns = [pa.array([f[n] for f in found]) for n in names]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], names=["id", *names])
 
     out_schema = T.StructType([id_field, *OUT.fields])
-    short = picked.where(F.coalesce(F.length("text"), F.lit(0)) <= chunk).mapInArrow(whole, out_schema)
+    short = picked.where(F.coalesce(F.length("text"), F.lit(0)) <= spread).mapInArrow(whole, out_schema)
 
-    long = picked.where(F.length("text") > chunk)
+    long = picked.where(F.length("text") > spread)
     if body_only:
         from .boilerplate import main_text
 
         long = main_text(long, "id", "text").withColumnRenamed("main", "text")
-    starts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk)), lambda k: k)
-    long = long.where(F.length("text") > 0).withColumn("hash", F.xxhash64("text"))
-    pieces = long.select("id", "hash", F.explode(starts).alias("k"), "text").select("id", "hash", "k", F.expr(f"substring(text, int(k * {chunk} + 1), {chunk})").alias("part"))
-    pieces = pieces.groupBy("id", "hash", "k", "part").agg(F.count("*").alias("copies"))
 
-    def count(batches):
+    def cut(batches):
+        for batch in batches:
+            for row, (text, code) in enumerate(zip(batch.column("text").to_pylist(), batch.column("hash").to_pylist())):
+                ids = batch.column("id").slice(row, 1)
+                for k, start in enumerate(range(0, max(len(text), 1), spread)):
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([code]), pa.array([k], pa.int64()), pa.array([text[start : start + spread]])], names=["id", "hash", "k", "part"])
+
+    keys = [id_field, T.StructField("hash", T.LongType()), T.StructField("k", T.LongType())]
+    pieces = long.withColumn("hash", F.xxhash64("text")).mapInArrow(cut, T.StructType([*keys, T.StructField("part", T.StringType())])).repartition("hash", "k")
+
+    def states(batches):
         v = shared.value
         for batch in batches:
-            states = [State(t, v).row() for t in batch.column("part").to_pylist()]
-            columns = [pa.array([s[f.name] for s in states], _arrow(f.dataType)) for f in _STATE]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "hash", "k", "copies")] + columns, names=["id", "hash", "k", "copies", *_STATE.names])
+            found = [counted(t, v, chunk).row() for t in batch.column("part").to_pylist()]
+            columns = [pa.array([s[f.name] for s in found], _arrow(f.dataType)) for f in _STATE]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "hash", "k")] + [pa.array([1] * len(found), pa.int64()), *columns], names=["id", "hash", "k", "copies", *_STATE.names])
 
-    keys = [id_field, T.StructField("hash", T.LongType()), T.StructField("k", T.LongType()), T.StructField("copies", T.LongType())]
-    counted = pieces.mapInArrow(count, T.StructType([*keys, *_STATE.fields]))
+    keys.append(T.StructField("copies", T.LongType()))
+    parts = pieces.mapInArrow(states, T.StructType([*keys, *_STATE.fields]))
 
     def fold(last: bool):
         def run(table: pa.Table) -> pa.Table:
             v = shared.value
             rows = sorted(table.to_pylist(), key=lambda r: r["k"])
+            copies = sum(r["copies"] for r in rows if r["k"] == rows[0]["k"])  # rows that repeat have equal parts
             state = State.load(rows[0])
-            for r in rows[1:]:
-                state.merge(State.load(r), v)
-            key = {c: rows[0][c] for c in ("id", "hash", "k", "copies")}
+            for before, r in zip(rows, rows[1:]):
+                if r["k"] != before["k"]:
+                    state.merge(State.load(r), v)
+            key = {c: rows[0][c] for c in ("id", "hash", "k")} | {"copies": copies}
             if last:
                 state.close(v)
-                return pa.Table.from_pylist([{"id": key["id"], **verdict(state.sums, state.shapes, len(state.words))}] * key["copies"], schema=_arrow_schema(out_schema))
+                return pa.Table.from_pylist([{"id": key["id"], **verdict(state.sums, state.shapes, len(state.words))}] * copies, schema=_arrow_schema(out_schema))
             return pa.Table.from_pylist([key | state.row()], schema=_arrow_schema(T.StructType([*keys, *_STATE.fields])))
 
         return run
 
-    some = counted.groupBy("id", "hash", F.expr("k div 32")).applyInArrow(fold(False), counted.schema)
+    some = parts.groupBy("id", "hash", F.expr("k div 32")).applyInArrow(fold(False), parts.schema)
     merged = some.groupBy("id", "hash").applyInArrow(fold(True), out_schema)
     return short.unionByName(merged).withColumnRenamed("id", id_col)
 

@@ -14,6 +14,8 @@ from loomspark.llm.boilerplate_labels import pages
 from loomspark.llm.blocks import page_features
 from loomspark.llm.tree import Forest
 
+from . import blind_pages
+
 
 def brute_bpe(enc: bpe.ByteBPE, word: str) -> list[int]:
     parts = [bytes([b]) for b in word.encode()]
@@ -168,6 +170,28 @@ def test_boilerplate_on_held_out_pages():
     assert sum(len(x) for x, _ in marked) < 420
 
 
+def test_boilerplate_on_pages_of_other_sites():
+    """Pages written apart from the labelled table: most furniture is found, little else is taken."""
+    found = true = both = 0
+    for lines, labels in blind_pages.pages():
+        ((_, numbers, flag),) = boilerplate.furniture_of(["\n".join(lines)])
+        found += int(flag.sum())
+        true += sum(labels)
+        both += sum(labels[n] for n, f in zip(numbers, flag.tolist()) if f)
+    assert both / true > 0.9 and both / found > 0.95
+
+
+def test_long_lines_are_judged_like_others():
+    consent = "Nous utilisons des cookies avec nos partenaires pour mesurer l'audience du site et vous proposer des publicités adaptées ; vous pouvez accepter ou refuser ces cookies, ou modifier vos préférences à tout moment dans notre politique de confidentialité."
+    legal = "Tous droits réservés. Toute reproduction des textes de ce site est interdite sans l'accord écrit de l'éditeur ; les conditions générales d'utilisation et les mentions légales sont en bas de page, avec la politique de confidentialité et le plan du site."
+    menu = " | ".join(f"{w} {v}" for w in "Cours Exercices Annales Fiches".split() for v in ("sixième", "cinquième", "seconde", "terminale"))
+    body = "La lumière se propage en ligne droite tant que le milieu reste le même, et c'est pourquoi les ombres ont des bords nets près de l'objet qui les porte au soleil du matin."
+    page = [menu, "La lumière", body, body.replace("La", "Une"), consent, legal]
+    assert all(len(x.split()) >= 28 for x in (consent, legal, menu, body))
+    ((_, numbers, flag),) = boilerplate.furniture_of(["\n".join(page)])
+    assert [n for n, f in zip(numbers, flag.tolist()) if f] == [0, 4, 5]
+
+
 def test_boilerplate_of_a_table(spark):
     body = "La lumière se propage en ligne droite tant que le milieu reste le même, et c'est pourquoi les ombres ont des bords nets près de l'objet qui les porte au soleil."
     page = f"Accueil | Cours | Contact\r\nSe connecter\n\nLa lumière\n{body}\nPublicité\n{body}\n© 2020 Le Site – Tous droits réservés"
@@ -207,9 +231,29 @@ def test_statistics_do_not_depend_on_cuts(spark, chunk):
     df = spark.createDataFrame(rows, "row_id long, text string, kind int, id string")
     whole = sorted(map(str, textstats.text_statistics(df, VOCABULARY).collect()))
     assert sorted(map(str, textstats.text_statistics(df, VOCABULARY, chunk=chunk).collect())) == whole and len(whole) == len(rows)
+    assert sorted(map(str, textstats.text_statistics(df, VOCABULARY, chunk=chunk, spread=3 * chunk + 1).collect())) == whole
     assert textstats.text_statistics(df.limit(0), VOCABULARY).count() == 0
 
 
+def test_junk_is_judged_by_all_lines_in_any_order():
+    rng = random.Random(4)
+    menu = [f"Rubrique {w} du site" for w in "un deux trois quatre".split()]
+    noise = ["".join(rng.choice("#%&$@{}<>=*~^") for _ in range(30)) for _ in range(20)]
+    for order in range(6):
+        lines = menu + noise if not order else rng.sample(menu + noise, 24)
+        assert textstats.is_junk(lines) and not textstats.is_junk(lines + [f"Une phrase de plus, numéro {i}, pour voir." for i in range(3)])
+    long_menu = [f"Une phrase de plus, {a}{b}teau du port, pour voir." for a in "abcdefgh" for b in "eiouaré"]
+    for lines in (long_menu + noise * 2, noise * 2 + long_menu):
+        assert not textstats.is_junk(lines)
+    assert textstats.is_junk(noise * 12 + long_menu) and textstats.is_junk(long_menu + noise * 12)
+
+
+def test_a_row_of_cells_is_no_prose():
+    row = " • ".join("le sel de la mer et du port".split() * 2 + ["u8ZDeo2RfmAt6M"] * 2)
+    assert textstats.line_kind(row, textstats._PARTS.findall(row.lower()), 12) == textstats.LIST
+    assert textstats.line_kind("#%& " * 40 + "le la de " * 6, ["le", "la", "de"] * 6, 18) == textstats.JUNK
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
