@@ -14,17 +14,18 @@ _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 _SPACES = re.compile(r"[^\S\n]+")
 
 #: Stems and phrases that furniture uses, without accents, in several languages. Each begins
-#: at a word's start; those with a final | also end at a word's end.
+#: at a word's start; those with a final | also end at a word's end, and those with a ~ are common words besides, which
+#: count in lines of at most LABEL words only.
 CUES = {
     "consent": "cookie; temoin de connexion; traceur; j'ai compris; continuer sans accepter; consent; vie privee; confidentialite; donnees personnelles; mesure d'audience; tout accepter; tout refuser; mes choix; j'accepte; accept all; accept cookies; reject all; privacy; alle akzeptieren; datenschutz; akzeptieren; privacidad; aceptar; accetta; rgpd|; gdpr|; vos preferences",
-    "account": "se connecter; connexion; identifiez; identifiant; mot de passe; creer un compte; mon compte; s'inscrire; inscrivez; deconnexion; sign in; log in; login; sign up; register; create an account; my account; password; anmelden; registrieren; konto|; iniciar sesion; registrarse; accedi|; registrati; devez etre membre",
-    "news": "newsletter; lettre d'information; lettre de; abonne|; abonnez; abonnement; m'abonne; s'abonner; adresse e-mail; adresse email; votre courriel; recevoir les; recevez; alertes; ne manquez; subscribe; subscription; abonnieren; rundbrief; suscrib; boletin; iscriviti; fil rss; rss|; faire un don; donate; spenden; sans engagement",
-    "share": "partager; partagez; partage|; partages|; j'aime; tweet; facebook; twitter; whatsapp; linkedin; envoyer a un ami; imprimer; version pdf; en pdf; copier le lien; signaler; share this; share on; print this; copy link; beitrag teilen; teilen|; drucken; compartir; condividi; suivez|; retrouvez-nous; follow us; vous a plu; noter ce",
-    "ads": "publicite; annonce|; annonces|; contenu sponsorise; sponsored content; sponsor; nos partenaires; partenaire; advertis; anzeige|; werbung; publicidad; pubblicita",
+    "account": "se connecter; connexion; identifiez; identifiant; mot de passe; creer un compte; mon compte; s'inscrire; inscrivez; deconnexion; sign in; log in; login; sign up; register~; create an account; my account; password; anmelden; registrieren; konto|; iniciar sesion; registrarse; accedi|; registrati; devez etre membre",
+    "news": "newsletter; lettre d'information; lettre de~; abonne|; abonnez; abonnement; m'abonne; s'abonner; adresse e-mail; adresse email; votre courriel; recevoir les; recevez~; alertes~; ne manquez; subscribe; subscription; abonnieren; rundbrief; suscrib; boletin; iscriviti; fil rss; rss|; faire un don; donate; spenden; sans engagement",
+    "share": "partager; partagez; partage|~; partages|~; j'aime; tweet; facebook; twitter; whatsapp; linkedin; envoyer a un ami; imprimer; version pdf; en pdf; copier le lien; signaler; share this; share on; print this; copy link; beitrag teilen; teilen|; drucken; compartir; condividi; suivez|; retrouvez-nous; follow us; vous a plu; noter ce",
+    "ads": "publicite; annonce|~; annonces|~; contenu sponsorise; sponsored content; sponsor; nos partenaires; partenaire~; advertis; anzeige|; werbung; publicidad; pubblicita; suite apres; est offert",
     "legal": "mentions legales; conditions generales d'utilisation; droit reserve; droits reserves; copyright; toute reproduction; reproduction interdite; reproduction soumise; propriete intellectuelle; intellectual property; tous droits; plan du site; titre indicatif; n'engagent; heberge par; hebergee par; hebergement; site realise; all rights; terms of; imprint|; impressum; alle rechte; aviso legal; derechos reservados; diritti riservati; commission de presse; non conforme|; accessibilite; sitemap; ©; (c)|",
-    "nav": "accueil|; menu|; navigation|; aller au contenu; passer au contenu; rechercher; recherche|; toutes les rubriques; nos categories; nos dossiers; categories|; rubrique; retour en haut; haut de page; page precedente; page suivante; precedent|; suivant|; vous etes ici; lire la suite; en savoir plus; voir plus; contact|; contacter; nous ecrire; qui sommes; a propos|; home|; back to top; skip to; next page; previous|; read more; about us; contact us; search|; startseite; nach oben; weiterlesen; kontakt|; suche|; uber uns; inicio|; leer mas; contacto|; leggi tutto; boutique|; forum|; agenda|; portail; se desabonner",
-    "related": "a lire; lire aussi; voir aussi; sur le meme; dans la meme; autres articles; articles recents; autres dossiers; les plus lus; plus lus; pourraient vous; notre selection; en ce moment; dernieres parutions; a decouvrir; decouvrez; you may also; related|; most read; recommended; see also; das konnte; mehr zum thema; auch interessieren; te puede interesar; potrebbe interessarti; mots-cles; mots cles; tag|; tags|; etiquettes; classe dans; schlagworter; filed under; etiquetas; popular articles; mediatheque",
-    "meta": "publie le; ajoute le; poste le; mis en ligne; mis a jour; mise a jour; modifie le; redige par; ecrit par; posted on; posted by; published; updated; written by; veroffentlicht; publicado; pubblicato; consulte; commentaire; reponses a; replies to; comments|; comment|; kommentar; comentario; repondre|; reply|; a propos de l'auteur; l'auteur :; about the author; auteur de|; autrice de|; auteur du|; autrice du|; journaliste; redacteur; redactrice; blogueu; freelance; is the author; is a writer; is an editor; is a journalist; minutes de lecture; min read; temps de lecture",
+    "nav": "accueil|; menu|~; navigation|~; aller au contenu; passer au contenu; rechercher; recherche|~; toutes les rubriques; nos categories; nos dossiers; categories|; rubrique~; retour en haut; haut de page; page precedente; page suivante; precedent|~; suivant|~; vous etes ici; lire la suite; en savoir plus; voir plus; contact|~; contacter; nous ecrire; qui sommes; a propos|; home|~; back to top; skip to; next page; previous|~; read more; about us; contact us; search|~; startseite; nach oben; weiterlesen; kontakt|; suche|~; uber uns; inicio|; leer mas; contacto|; leggi tutto; boutique|~; forum|~; agenda|~; portail~; se desabonner",
+    "related": "a lire; lire aussi; voir aussi; sur le meme; dans la meme; autres articles; articles recents; autres dossiers; les plus lus; plus lus; pourraient vous; notre selection; en ce moment; dernieres parutions; a decouvrir; decouvrez; you may also; related|; most read; recommended; see also; das konnte; mehr zum thema; auch interessieren; te puede interesar; potrebbe interessarti; mots-cles; mots cles; tag|~; tags|; etiquettes; classe dans; schlagworter; filed under; etiquetas; popular articles; mediatheque",
+    "meta": "publie le; ajoute le; poste le; mis en ligne; mis a jour; mise a jour; modifie le~; redige par; ecrit par; posted on; posted by; published~; updated~; written by; veroffentlicht; publicado; pubblicato; consulte~; commentaire; reactions a; derniere visite; reponses a; replies to; comments|; a comment|; add comment; 1 comment|; kommentar; comentario; repondre|; reply|; a propos de l'auteur; l'auteur :; about the author; auteur de|; autrice de|; auteur du|; autrice du|; journaliste~; redacteur; redactrice; blogueu; freelance; is the author; is a writer; is an editor; is a journalist; minutes de lecture; min read; temps de lecture",
 }
 _SHORT_CUE = re.compile(r"^(?:vue?|lue?) \d+ fois|\bfois depuis\b|^ref\. ?\d|^citer\W*$|^\d+ (?:vues|views|likes)\b")
 
@@ -35,45 +36,56 @@ def _automaton():
     a = ahocorasick.Automaton()
     for kind, phrases in CUES.items():
         for phrase in phrases.split("; "):
+            weak = phrase.endswith("~")
+            phrase = phrase.rstrip("~")
             whole = phrase.endswith("|")
             phrase = phrase.rstrip("|")
-            a.add_word(phrase, (kind, len(phrase), whole, len(phrase.split())))
+            a.add_word(phrase, (kind, len(phrase), whole, len(phrase.split()), weak))
     a.make_automaton()
     return a
 
 
 _cues: list = []
+#: A date, a byline, a counter or a common word that furniture uses too is, in a line of more words, part of what the line says.
+LABEL = 18
 
 
-def cue_hits(text: str) -> tuple[int, int]:
-    """(families of cues in the text, words that cues cover)."""
+def cue_hits(text: str, n: int) -> tuple[int, int]:
+    """(families of cues in a text of n words, words that cues cover), a cue inside another not counted, nor one that comes again."""
     if not _cues:
         _cues.append(_automaton())
-    kinds: set[str] = set()
-    spans: list[tuple[int, int]] = []  # of cues inside cues the outer ones, which end last
-    for end, (kind, size, whole, n) in _cues[0].iter(text):
-        start = end - size + 1
-        if start and text[start - 1].isalnum() or whole and end + 1 < len(text) and text[end + 1].isalnum():
+    spans: list[tuple[int, tuple]] = []  # of cues inside cues the outer ones, which end last
+    for end, cue in _cues[0].iter(text):
+        start = end - cue[1] + 1
+        if start and text[start - 1].isalnum() or cue[2] and end + 1 < len(text) and text[end + 1].isalnum() or n > LABEL and cue[4]:
             continue
-        kinds.add(kind)
         while spans and spans[-1][0] >= start:
             spans.pop()
-        spans.append((start, n))
-    words = sum([n for _, n in spans])
-    if len(text) < 60 and (text[-1].isdigit() or "fois" in text or "cit" in text or text[0].isdigit() or text.startswith("ref")) and _SHORT_CUE.search(text):
+        spans.append((start, cue))
+    short = len(text) < 60 and (text[-1].isdigit() or "fois" in text or "cit" in text or text[0].isdigit() or text.startswith("ref")) and _SHORT_CUE.search(text)
+    if not spans:
+        return (1, 1) if short else (0, 0)
+    kinds, seen, words = set(), set(), 0
+    for start, (kind, size, _, count, _) in spans:
+        kinds.add(kind)
+        phrase = text[start : start + size]
+        if phrase not in seen:
+            seen.add(phrase)
+            words += count
+    if short:
         kinds.add("meta")
         words += 1
     return len(kinds), words
 
 
 #: Words that speak to or of the reader or the writer, without accents.
-ADDRESS = "vous votre vos you your sie ihr ihre usted je merci please bitte".split()
+ADDRESS = "vous votre vos you your sie ihr ihre usted je nous notre nos we our us wir unsere nuestro merci please bitte".split()
 _ADDRESS = frozenset(a + w + z for w in ADDRESS for a in ("", "(", '"') for z in ("", ",", ".", ";", ":", "!", "?", ")", "...", "…"))
-_IMPERATIVE = re.compile(r"(?:^|\s)\w+ez\b")
+_IMPERATIVE = re.compile(r"(?:^|\s)(?!(?:ch|ass|n|r)ez\b)\w+ez\b")
 _DATE = re.compile(
     r"\b(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}-\d{2}-\d{2}|\d{1,2}(?:er|\.)? (?:janvier|fevrier|mars|avril|mai|juin|juillet|aout|septembre|octobre|novembre|decembre|januar|februar|marz|april|juni|juli|august|september|oktober|november|dezember|january|february|march|may|june|july|october|december|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)(?: \d{4})?|(?:january|february|march|april|may|june|july|august|september|october|november|december) \d{1,2},? \d{4})\b"
 )
-_BYLINE = re.compile(r"\b(?:par|by|von|por|di) [a-z]\. ?[a-z]|(?:^|[|,–-] ?)(?:par|by|von|por|di) [a-z'-]+ [a-z'-]+(?: [a-z'-]+)?$|, (?:pour|for|fur) |\| [a-z]\. ")
+_BYLINE = re.compile(r"\b(?:par|by|von|por|di) [a-z]\. ?[a-z]|(?:^|[|,–-] ?)(?:par|by|von|por|di) [a-z'-]+ [a-z'-]+(?: [a-z'-]+)?$|^[a-z]\. [a-z'-]{3,} |, (?:pour|for|fur) |\| [a-z]\. ")
 _SEPARATOR = re.compile(r"\s(?:[|·•/›»>–—\\]\s|\s*\t\s*|(?<=\t)\s*|(?<= ) +|[»›>])")
 _DASH = re.compile(r"\s[–—-]\s")
 _LEAD = re.compile(
@@ -119,8 +131,6 @@ _COLUMNS = re.compile(r"(?<=\S) {3,}(?=\S)")
 OWN = ("words", "stop", "link", "cue", "cue_share", "address", "date", "byline", "digits", "mark", "handle", "sign", "upper")
 #: Lines of so many words have one shape, "long": what signs open a paragraph says nothing of it. All other features are theirs as any line's.
 LONG = 28
-#: A date, a byline or a counter in a line of more words is part of what the line says.
-LABEL = 18
 
 
 def own_features(text: str, upper: bool = False) -> tuple[tuple[float, ...], str]:
@@ -145,11 +155,11 @@ def own_features(text: str, upper: bool = False) -> tuple[tuple[float, ...], str
     cells = many and digits > 0.1 or bar
     if many and len(pieces) >= 3 and not cells:
         link = 1.0
-    elif not bar and (_LEAD.match(text) or text.endswith(_TRAILS) and (n < LONG or text[-1] != ")") and _TRAIL.search(text, max(0, size - 60))):
+    elif not bar and (_LEAD.match(text) or text.endswith(_TRAILS) and (text[-1] != "»" or "«" not in text) and (n < LONG or text[-1] != ")") and _TRAIL.search(text, max(0, size - 60))):
         link = 0.9
     else:
         link = 0.5 if len(pieces) >= 2 and n <= 14 and not cells and not (len(pieces) == 2 and _DASH.search(text)) else 0.0
-    kinds, hit = cue_hits(text)
+    kinds, hit = cue_hits(text, n)
     real = max(1, sum([w.isalnum() or any(map(str.isalnum, w)) for w in words])) if n < LONG else n
     share = min(1.0, hit / real)
     address = len(_ADDRESS.intersection(words)) + (" j'" in text or text.startswith("j'")) + (" m'" in text)
@@ -158,14 +168,14 @@ def own_features(text: str, upper: bool = False) -> tuple[tuple[float, ...], str
     date = byline = False
     if real <= LABEL:
         date, byline = number > 0 and bool(_DATE.search(text)), ("." in text or ", " in text or n <= 10 and ("par " in text or "by " in text or "von " in text or "por " in text or "di " in text)) and bool(_BYLINE.search(text))
-    handle = (": " in text or text.startswith(("de ", "from ", "@"))) and bool(_HANDLE.match(text))
-    sign = (link >= 0.9) + (share >= 0.45) + (address > 0 and kinds > 0) + (date and (byline or kinds > 0)) + (kinds >= 3) + handle
+    handle = (": " in text or real <= LABEL and text.startswith(("de ", "from ", "@"))) and bool(_HANDLE.match(text))
+    sign = (link >= 0.9) + (share >= 0.45) + (address > 0 and kinds > 0 and share >= 0.06) + (date and (byline or kinds > 0)) + (kinds >= 3 and share >= 0.1) + handle
     if n >= LONG:
         form = "long"
     else:
         form = "columns|" if text.count("\t") >= 2 or wide and len(_COLUMNS.findall(text)) >= 2 else shape(text)
     return (
-        float(min(n, 60)), float(n > 3 and (text[-1] in ".!?…" or text[-1] in "»\"”)]" and _STOP.search(text, max(0, size - 40)) is not None)), link, float(kinds), share, float(min(address, 3)), float(date),
+        float(min(n, 60)), float(n > 3 and (text[-1] in ".!?…" or text[-1] in "»\"”)]" and _STOP.search(text, max(0, size - 40)) is not None)), link, kinds * min(1.0, share * 10), share, float(min(address, 3)), float(date),
         float(byline), digits, float(_MARK.match(text) is not None), float(handle), float(sign), float(upper),
     ), form
 

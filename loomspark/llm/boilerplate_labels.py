@@ -243,12 +243,8 @@ PAGES = """
 - Connexion
 + Hameaux de la vallée
 + Beaulieu
-+ Chantemerle
 + Fontvieille
 + Grandpré
-+ Hautefage
-+ Lavergne
-+ Montclar
 + Pierrefitte
 + Rochefort
 + Villeneuve
@@ -427,7 +423,11 @@ PAGES = """
 - Accueil | Recettes | Entrées | Plats | Desserts | Boissons | Techniques | Vidéos | Forum | Boutique | Livres | Concours | Partenaires | Qui sommes-nous | Contact
 + Le moulin à café
 + Le moulin à manivelle broie les grains entre deux meules d'acier dont l'écart se règle par une vis ; plus elles sont proches, plus la mouture est fine et plus le café est fort, mais l'eau passe alors lentement et le goût devient amer.
++ Un cookie, ou témoin de connexion, est un petit fichier que le serveur envoie au navigateur et que celui-ci renvoie à chaque visite ; le cookie de session disparaît à la fermeture, tandis que le traceur d'un tiers suit le lecteur d'un site à l'autre pendant des mois.
++ Si le serveur ne reçoit pas le cookie, il croit voir un nouveau lecteur et recommence son calcul ; l'historien du réseau y voit la trace d'un temps où la mémoire d'une machine coûtait cher et où l'on cherchait à tout garder chez l'autre.
 + La loi impose à tout éditeur de demander l'accord du lecteur avant de déposer un cookie sur son ordinateur, et les juges ont précisé que cet accord doit être donné par un acte clair et non par une case déjà cochée.
++ « Écoutez le grain », disait le vieux brûleur à ses apprentis ; et il ajoutait, en fermant la porte du four : « Quand il craque deux fois, vous avez dix secondes, pas une de plus, pour tout verser sur la table. » Chez lui, personne ne s'y trompait.
++ De 1880 à 1914, l'abonnement à la bibliothèque du quartier coûtait deux francs ; on y lisait les annonces, l'agenda des foires et les forums de l'époque, c'est-à-dire le courrier des lecteurs, que l'on recopiait ensuite dans un cahier pour le partager le soir.
 + Le journal vivait de la publicité et des abonnements : en 1905, plus de la moitié de ses recettes venaient des annonces, et le directeur écrivait chaque mois aux lecteurs pour leur vanter les mérites de la nouvelle imprimerie.
 - Vous aimez nos articles ? Inscrivez-vous gratuitement à notre newsletter et recevez chaque semaine le meilleur du site dans votre boîte mail ; il vous suffit d'indiquer votre adresse e-mail ci-dessous et de confirmer votre inscription.
 - À propos de l'auteur : Claire Martin est journaliste et autrice de plusieurs ouvrages sur l'histoire de la table ; elle partage ses recettes sur son blog depuis plus de dix ans et répond à toutes vos questions dans les commentaires.
