@@ -243,8 +243,6 @@ PAGES = """
 - Connexion
 + Hameaux de la vallée
 + Beaulieu
-+ Fontvieille
-+ Grandpré
 + Pierrefitte
 + Rochefort
 + Villeneuve
@@ -252,10 +250,7 @@ PAGES = """
 + Aubeterre
 + Bellegarde
 + Castelnau
-+ Clairvaux
 + Fontenay
-+ Malaucène
-+ Ribérac
 + Sauveterre
 - Voir aussi
 - Les foires de la vallée (9)
@@ -267,8 +262,6 @@ PAGES = """
 + Aubry
 + Bertin
 + Carlier
-+ Delmas
-+ Evrard
 + Fournier
 + Germain
 + Humbert
@@ -443,6 +436,15 @@ PAGES = """
 - Enjoyed this story? Subscribe to our free weekly newsletter and get new guides, seasonal tips and special offers from our partners delivered straight to your inbox; you can unsubscribe whenever you like by following the link in the email.
 - Anna Reed is a writer and garden designer based in Kent, the author of three books on orchards and a regular guest on local radio, and she is happy to answer your questions in the comments below.
 - No part of this website may be reproduced or transmitted in any form without the prior written permission of the publisher; see our terms of use and privacy policy. Copyright and all other rights in the pictures remain with the photographers. All rights reserved.
+
+- Accueil | Leçons | Aide
+- Mon compte
++ Les volcans
++ Un volcan naît là où la roche fondue trouve un passage vers la surface ; elle s'y refroidit en coulées, en cendres ou en dômes selon qu'elle est plus ou moins visqueuse et chargée de gaz.
+- Publicité
++ Le magma
++ Sa température dépasse mille degrés, et sa composition change d'une chambre à l'autre, si bien que deux éruptions du même sommet ne se ressemblent pas toujours.
+- Imprimer
 """.strip().split("\n\n")
 
 
