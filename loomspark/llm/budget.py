@@ -41,23 +41,10 @@ def count_contents(texts: DataFrame, vocabulary: str | None = None) -> DataFrame
         for batch in batches:
             rows = batch.column("text").to_pylist()
             for a, b in _groups(rows):
-                n = []
-                for t in rows[a:b]:
-                    if not t:
-                        n.append(0)
-                        continue
-                    words = enc.split(t)
-                    get = enc.sizes
-                    try:
-                        n.append(sum([get[w] for w in words]))
-                    except KeyError:
-                        enc.learn(list(set(words).difference(enc.words)))
-                        if len(get) > 2_000_000:
-                            get.clear()
-                        for w in set(words):
-                            if w not in get:
-                                get[w] = len(enc.words[w]) if w in enc.words else len(list(chain.from_iterable(enc.lists([w])[0])))
-                        n.append(sum([get[w] for w in words]))
+                parted = [enc.split(t) if t else [] for t in rows[a:b]]
+                ids = enc.known(parted)
+                size = {w: len(ids[w]) for w in set(chain.from_iterable(parted))}
+                n = [sum([size[w] for w in p]) for p in parted]
                 yield pa.RecordBatch.from_arrays([batch.column("content").slice(a, b - a), pa.array([name] * (b - a)), pa.array(n, pa.int64())], names=["content", "tokenizer", "tokens"])
 
     schema = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("tokens", T.LongType())])

@@ -41,6 +41,28 @@ def test_encoding_equals_exact_merging():
     assert enc.exact_words > 0
 
 
+def test_many_distinct_words_after_a_warm_cache(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 1000)
+    enc = bpe.ByteBPE(bpe.default_vocabulary())
+    enc.lists(["un deux trois " + " ".join(map(str, range(990)))])
+    texts = ["un deux " + " ".join(str(i * 7919) for i in range(12_500)), None, "un deux trois"]
+    for _ in range(3):
+        for text, got in zip(texts, enc.lists(texts)):
+            assert list(map(list, got)) == [brute_bpe(enc, w) for w in enc.split(text or "")]
+    assert 0 < enc.exact_words < enc.all_words
+
+
+def test_compatible_pairs_like_merging():
+    enc = bpe.ByteBPE(bpe.default_vocabulary())
+    rng = random.Random(5)
+    some = [t for t in rng.sample(sorted(enc.token), 1500)] + sorted(enc.token)[:700]
+    pairs = [(rng.choice(some), rng.choice(some)) for _ in range(6000)] + [(t, t) for t in some]
+    pairs += [tuple(enc.ranks[x] for x in (w[:k], w[k:])) for t in some if len(w := enc.token[t]) > 1 for k in range(1, len(w)) if w[:k] in enc.ranks and w[k:] in enc.ranks]
+    first, second = (np.array(c, dtype=np.int64) for c in zip(*pairs))
+    want = [enc.merge(enc.token[a] + enc.token[b]) == [a, b] for a, b in pairs]
+    assert enc.compatible(first, second).tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_encoding_of_a_table(spark):
     rows = [(1, "été", "x"), (1, "été", "y"), (None, "a", None), (3, None, None), (4, "", None), (5, "mot " * 50_000, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")  # a column named like the result
