@@ -9,11 +9,12 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a relation up to which it may be sent to every task. A caller counts first.
+#: Rows, and bytes on disk, of a written table up to which it may be sent to every task.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
@@ -35,10 +36,16 @@ def get_spark(app: str = "loomspark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine.
+
+    On a cluster without the setting this raises, for a folder of the driver's is none of the executors'.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         path = tempfile.mkdtemp(prefix="loomspark-")
@@ -62,17 +69,32 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/loomspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder for a file that is written and read again; removed when the driver ends."""
+    path = f"{shared_dir(spark)}/loomspark-{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _bytes_of(spark: SparkSession, path: str) -> int:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `limit` rows; looks at limit + 1 rows at most."""
-    return df.limit(limit + 1).count() <= limit
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a table that materialize wrote has at most `limit` rows and `most` bytes; read from the files' footers and sizes."""
+    return _bytes_of(df.sparkSession, df._written) <= most and df.count() <= limit
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join; the right side is broadcast only if it was counted and has at most `limit` rows, else both sides are shuffled."""
-    return left.join(F.broadcast(right) if small(right, limit) else right, on, how)
+def join_checked(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join; the right side is written first unless it is a written table, and broadcast only if that one is small, else both are shuffled."""
+    table = right if hasattr(right, "_written") else materialize(right, "side")
+    return left.join(F.broadcast(table) if small(table, limit) else table, on, how)
 
 
 def ship(spark: SparkSession) -> None:
