@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import materialize, ship
+from ..runtime import materialize, ship, small
 from .bpe import _groups, default_vocabulary, encoder
 
 DIMENSIONS = ("source", "lang", "site")
@@ -52,17 +52,24 @@ def count_contents(texts: DataFrame, vocabulary: str | None = None) -> DataFrame
 
 
 def token_table(docs: DataFrame, known: DataFrame | None = None, vocabulary: str | None = None) -> DataFrame:
-    """The count table of all contents of docs (content, text): known rows of this tokenizer, and the others encoded once.
+    """The count table of all contents of docs (id, content, text): known rows of this tokenizer, and the others encoded once each.
 
-    Without a known table the contents are made distinct after they were encoded where they lie, which
-    moves hashes instead of texts.
+    Of each content that is not known one document is picked by partial minima of hashed ids, so hashes are shuffled and a
+    content that is a third of all rows costs one row a task. The picked texts are found by a broadcast if they are few, else
+    by a shuffled join on content and pick, which no content makes uneven.
     """
     path = vocabulary or default_vocabulary()
-    if known is None:
-        return count_contents(docs, path).dropDuplicates(["content", "tokenizer"])
-    mine = known.where(F.col("tokenizer") == tokenizer_hash(path)).select("content", "tokenizer", "tokens")
-    unseen = docs.join(mine.select("content"), "content", "left_anti").dropDuplicates(["content"])
-    return mine.unionByName(count_contents(unseen, path))
+    pick = F.xxhash64("id") if "id" in docs.columns else F.lit(0).cast("long")  # without ids all copies are picked
+    picked = docs.groupBy("content").agg(F.min(pick).alias("pick"))
+    mine = None
+    if known is not None:
+        mine = known.where(F.col("tokenizer") == tokenizer_hash(path)).select("content", "tokenizer", "tokens")
+        picked = picked.join(mine.select("content"), "content", "left_anti")
+    picked = materialize(picked, "unseen")
+    side = F.broadcast(picked) if small(picked) else picked.hint("shuffle_hash")
+    texts = docs.select("content", pick.alias("pick"), "text").join(side, ["content", "pick"])
+    new = count_contents(texts, path).dropDuplicates(["content", "tokenizer"])  # documents of one id and content
+    return new if mine is None else mine.unionByName(new)
 
 
 def deltas(new: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -84,7 +91,8 @@ def cube(changes: DataFrame, table: DataFrame, before: DataFrame | None = None)
     `level` names the dimensions a row is grouped by, so that a null in one (unknown) differs from "not grouped by".
     The finest totals are built first, from partial sums, and the others from them; `before` is added.
     """
-    sized = changes.join(table.select("content", "tokens"), "content")
+    few = changes.groupBy("content", *DIMENSIONS).agg(F.sum("sign").alias("sign")).where("sign <> 0")  # copies are summed before the join
+    sized = few.join(table.select("content", "tokens"), "content")
     fine = sized.groupBy(*DIMENSIONS).agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).alias("tokens"))
     if before is not None:
         fine = fine.unionByName(before.where("level = 'source,lang,site'").select(*DIMENSIONS, "docs", "tokens"))

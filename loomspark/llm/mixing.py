@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 Sizes per source and per block of a source are summed by Spark; quotas, the number of passes over each source
-and the division of block uses among output shards are worked out on the driver, from numbers bounded by
-sources x BLOCKS. The shards come from a splitting tree: at each node the uses of every source's blocks are
-parted between two halves by a multivariate hypergeometric draw, so that each shard is an exact random part.
+and the division of block uses among output shards are worked out on the driver, from at most BLOCKS numbers and
+eight more a source. The shards come from a splitting tree: at each node the uses of every source's blocks are
+parted between two halves by a multivariate hypergeometric draw, so that each shard is an exact random part. The plan
+becomes a table that the records are joined with.
 """
 
 from __future__ import annotations
@@ -13,21 +14,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import ship
+from ..runtime import join_checked, materialize, ship
 
-#: Blocks that a source's records are cut into by a hash of their id.
-BLOCKS = 1024
+#: Blocks of all sources together that a plan has, about; a source has as many as its share of the records asks, at least eight, and up to
+#: A_SOURCE if it is small.
+BLOCKS = 200_000
+A_SOURCE = 1024
 
 
 def quotas(size: dict[int, float], weight: dict[int, float], cap: dict[int, int], total: float | None = None) -> dict[int, float]:
-    """How much of each source to take: its share of `total`, which by default is the most that lets every share be met."""
+    """How much of each source to take.
+
+    Without `total`: the most that lets every source have its share exactly. With it: that much in all; sources that run
+    out (cap times their size) give what they have, and the others the rest in proportion to their weights, or all they
+    have if it is not enough.
+    """
     usable = {s: w for s, w in weight.items() if w > 0 and size.get(s, 0) > 0}
-    whole = sum(usable.values())
     if not usable:
         return {}
-    most = min(cap[s] * size[s] * whole / w for s, w in usable.items())
-    goal = most if total is None else total
-    return {s: min(goal * w / whole, cap[s] * size[s]) for s, w in usable.items()}
+    whole = sum(usable.values())
+    if total is None:
+        total = min(cap[s] * size[s] * whole / w for s, w in usable.items())
+    out, left = {}, float(total)
+    for s, w in sorted(usable.items(), key=lambda x: (cap[x[0]] * size[x[0]] / x[1], x[0])):  # those that run out first
+        out[s] = min(left * w / whole, cap[s] * size[s]) if whole > 0 else 0.0
+        left -= out[s]
+        whole -= w
+    return out
 
 
 def splitting_tree(uses: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -64,23 +77,31 @@ def clean_sources(sources: DataFrame, limit: int = 10_000) -> list[dict]:
 class Mix:
     """The plan of a mixture and what comes of it."""
 
-    def __init__(self, df: DataFrame, sources: DataFrame, path: Column, name: Column, size: Column, id_col: str, shards: int = 8, total: float | None = None, seed: int = 1):
+    def __init__(self, df: DataFrame, sources: DataFrame, path: Column, name: Column, size: Column, id_col: str, shards: int = 8, total: float | str | None = None, seed: int = 1):
+        """`total`: the size asked for, "all" for as much as the usable records have once over, None for the most that meets every share."""
         spark = df.sparkSession
         ship(spark)
         self.mix = clean_sources(sources)
-        self.id_col = id_col
+        self.id_col, self.seed = id_col, seed
         schema = "source int, path string, name string, weight double, cap int"
         table = spark.createDataFrame([tuple(m[c] for c in ("source", "path", "name", "weight", "cap")) for m in self.mix], schema)
         records = df.select(F.col(id_col).alias("id"), path.alias("p"), name.alias("n"), F.coalesce(size.cast("long"), F.lit(0)).alias("size")).where("size > 0")
         t = F.broadcast(table)  # at most the limit of clean_sources
         records = records.join(t, records["p"].eqNullSafe(t["path"]) & records["n"].eqNullSafe(t["name"])).select("id", "source", "path", "name", "size")
-        self.records = records.withColumn("block", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(BLOCKS)).cast("int"))
-        blocks = self.records.groupBy("source", "block").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-        sizes: dict[int, int] = {}
-        for b in blocks:
-            sizes[b["source"]] = sizes.get(b["source"], 0) + b["size"]
+        records = materialize(records, "records")  # ids and sizes alone, read several times below
+        totals = records.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        self.sizes = sizes = {r["source"]: r["size"] for r in totals}
         weight, cap = {m["source"]: m["weight"] for m in self.mix}, {m["source"]: m["cap"] for m in self.mix}
-        self.sizes, self.quota = sizes, quotas(sizes, weight, cap, total)
+        if total == "all":
+            total = sum(n for s, n in sizes.items() if weight[s] > 0)
+        self.quota = quotas(sizes, weight, cap, total)
+        few = max(8, min(A_SOURCE, BLOCKS // max(1, len(self.mix))))
+        per_block = max(1, sum(r["n"] for r in totals) // BLOCKS)
+        blocks_of = {r["source"]: max(few, r["n"] // per_block if per_block > 1 else 0) for r in totals}
+        counts = spark.createDataFrame(sorted(blocks_of.items()), "source int, blocks long")
+        records = records.join(F.broadcast(counts), "source")  # at most the limit of clean_sources
+        self.records = records.withColumn("block", F.expr(f"pmod(xxhash64(id, {seed}), blocks)").cast("int")).drop("blocks")
+        blocks = self.records.groupBy("source", "block").agg(F.sum("size").alias("size")).collect()  # at most BLOCKS, and eight a source
         rng = np.random.default_rng(seed)
         per: dict[int, list] = {}
         for b in sorted(blocks, key=lambda b: (b["source"], b["block"])):
@@ -88,12 +109,12 @@ class Mix:
         uses: dict[int, list[int]] = {}  # source -> blocks in the order of their uses
         self.edge: dict[int, tuple[int, int]] = {}  # source -> block used in part, and what is left to take of it
         for s, q in self.quota.items():
-            passes = int(q // sizes[s])
+            passes = min(cap[s], int((q + 1e-6) // sizes[s]))
             order: list[int] = []
             for _ in range(passes):
                 order += [per[s][k][0] for k in rng.permutation(len(per[s]))]
             left = q - passes * sizes[s]
-            if passes < cap[s]:
+            if passes < cap[s] and left > 0:
                 torn = None
                 for k in rng.permutation(len(per[s])):
                     block, n = per[s][k]
@@ -118,9 +139,9 @@ class Mix:
                     edge_shard[s] = shard
                 else:
                     rows.setdefault((s, block), []).append(shard)
-        plan_rows = [(s, b, rows.get((s, b), []), edge_shard[s] if s in self.edge and self.edge[s][0] == b else None, self.edge[s][1] if s in self.edge and self.edge[s][0] == b else None) for s in ids for b, _ in per[s]]
-        self.plan = spark.createDataFrame(plan_rows, "source int, block int, shards array<int>, edge_shard int, room long")
-        self.seed = seed
+        torn = {(s, b): (edge_shard[s], room) for s, (b, room) in self.edge.items()}
+        plan = [(s, b, rows.get((s, b), []), *torn.get((s, b), (None, None))) for s in ids for b, _ in per[s] if (s, b) in rows or (s, b) in torn]
+        self.plan = materialize(spark.createDataFrame(plan, "source int, block int, shards array<int>, edge_shard int, room long"), "plan")
 
     def chosen(self) -> DataFrame:
         """(id, path, name, size, uses, shards): the records taken, how often, and the shard of each use.
@@ -128,7 +149,7 @@ class Mix:
         A record is used as often as its source is passed over; of the last, part-way pass whole blocks are used, and
         of one block the records in the order of their hash as long as that comes nearer to the quota.
         """
-        placed = self.records.join(F.broadcast(self.plan), ["source", "block"])  # at most sources x BLOCKS rows
+        placed = join_checked(self.records, self.plan, ["source", "block"])
         inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("id", F.lit(self.seed + 1)), "id")  # one block of a source
         cut = placed.where("edge_shard is not null").withColumn("sum", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         cut = cut.withColumn("shards", F.when(F.col("sum") - F.col("size") / 2 <= F.col("room"), F.concat("shards", F.array("edge_shard"))).otherwise(F.col("shards"))).drop("sum")
@@ -136,17 +157,24 @@ class Mix:
         return both.select(F.col("id").alias(self.id_col), "path", "name", "size", F.size("shards").alias("uses"), "shards")
 
     def stream(self) -> DataFrame:
-        """One row a use: (shard, id, path, name, use_no, order_key); a shard sorted by order_key is shuffled."""
-        rows = self.chosen().select(self.id_col, "path", "name", F.posexplode("shards").alias("use_no", "shard"))
-        return rows.withColumn("order_key", F.xxhash64(self.id_col, "use_no", F.lit(self.seed + 2)))
+        """One row a use: (shard, id, path, name, use_no, order_key), each shard in the order of order_key, which is a shuffle.
 
-    def shares(self) -> DataFrame:
-        """(path, name, weight, target_share, taken, share, max_uses) of every source of the mix, also of those that give nothing."""
-        spark = self.records.sparkSession
+        Ranges of (shard, order_key) are sorted apart, so that a shard may be larger than a task.
+        """
+        rows = self.chosen().select("shards", self.id_col, "path", "name").select(self.id_col, "path", "name", F.posexplode("shards").alias("use_no", "shard"))
+        rows = rows.withColumn("order_key", F.xxhash64(self.id_col, "use_no", F.lit(self.seed + 2)))
+        return rows.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")
+
+    def quota_table(self) -> DataFrame:
+        """(path, name, weight, max_repeats, available, target_share, quota) of every source of the mix."""
         whole = sum(m["weight"] for m in self.mix if m["source"] in self.quota)
-        rows = [(m["path"], m["name"], m["weight"], m["weight"] / whole if m["source"] in self.quota and whole else 0.0, m["cap"], self.sizes.get(m["source"], 0)) for m in self.mix]
-        target = spark.createDataFrame(rows, "path string, name string, weight double, target_share double, max_repeats int, available long")
+        rows = [(m["path"], m["name"], m["weight"], m["cap"], self.sizes.get(m["source"], 0), m["weight"] / whole if m["source"] in self.quota and whole else 0.0, float(self.quota.get(m["source"], 0.0))) for m in self.mix]
+        return self.records.sparkSession.createDataFrame(rows, "path string, name string, weight double, max_repeats int, available long, target_share double, quota double")
+
+    def shares(self) -> DataFrame:
+        """(path, name, weight, max_repeats, available, target_share, quota, taken, share, max_uses, records) of every source of the mix, also of those that give nothing."""
+        target = self.quota_table()
         taken = self.chosen().groupBy(F.col("path").alias("p"), F.col("name").alias("n")).agg(F.sum(F.col("size") * F.col("uses")).alias("taken"), F.max("uses").alias("max_uses"), F.count("*").alias("records"))
         total = taken.agg(F.sum("taken").alias("total"))
         joined = F.broadcast(target).join(taken, target["path"].eqNullSafe(taken["p"]) & target["name"].eqNullSafe(taken["n"]), "left").crossJoin(F.broadcast(total))  # one row
-        return joined.select("path", "name", "weight", "max_repeats", "available", "target_share", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce(F.col("taken") / F.col("total"), F.lit(0.0)).alias("share"), F.coalesce("max_uses", F.lit(0)).alias("max_uses"), F.coalesce("records", F.lit(0)).alias("records"))
+        return joined.select("path", "name", "weight", "max_repeats", "available", "target_share", "quota", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce(F.col("taken") / F.col("total"), F.lit(0.0)).alias("share"), F.coalesce("max_uses", F.lit(0)).alias("max_uses"), F.coalesce("records", F.lit(0)).alias("records"))

@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,7 @@ _ENDED = re.compile(r"[:;.!?…؟。！？।]\W*$")
 _PAIRED = re.compile("[«»“”„\"「」『』()\\[\\]（）【】《》]")
 _CLOSE_OF = {"«": "»", "“": "”", "„": "“", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》"}
 _OPEN_OF = {"»": "«", "”": "“", "」": "「", "』": "『", ")": "(", "]": "[", "）": "（", "】": "【", "》": "《"}
-_TOKEN_BEFORE = re.compile("[^\\s«»“”„\"(\\[「『/]*$")
+_NO_TOKEN = frozenset("«»“”„\"([「『/")
 _NEXT = re.compile(f"[{_OPENERS}\\s]*")
 _WORD = re.compile(r"[^\W\d_]+['’]?")
 _ELISION = re.compile(r"[^\W\d_]{1,6}['’](?=[^\W\d_])")
@@ -80,10 +81,20 @@ def language(text: str) -> str:
     return best if score[best] else "xx"
 
 
+def _token_before(text: str, end: int) -> str:
+    """The run of signs before `end` without blanks, opening quotes, brackets and slashes."""
+    at = end
+    while at and (ch := text[at - 1]) not in _NO_TOKEN and not ch.isspace():
+        at -= 1
+    return text[at:end]
+
+
 def _letter(ch: str) -> bool:
     return ch.isalpha() or "\u0900" <= ch <= "\u0dff"
 
 
+#: Letters up to which a type before a period counts as one that may be an abbreviation, with what stands after it.
+ABBREVIATION = 8
 _LAST = frozenset(".!?…»”\"“’')]」』؟।。！？")
 
 
@@ -107,7 +118,7 @@ class _Tally:
         c: Counter = Counter()
         for token, n in self.tokens.items():
             core = token.strip(_STRIP)
-            if not core or len(core) > 40:
+            if not core:
                 continue
             head = _ELISION.match(core)
             if head:
@@ -135,7 +146,7 @@ class _Tally:
             initial = m and len(m.group()) == 1 and nxt[1:2] in (".", "-")
             if m and m.group()[0].isupper() and not initial and (end[-1] != "." or len(bare) > 1 and _letter(bare[-1])):
                 c[lang, "S", m.group().lower()] += n
-            if end[-1] != "." or end.endswith("..") or a != end and a[-1] != ")" or not 0 < len(bare) <= 8 or not _letter(bare[-1]):
+            if end[-1] != "." or end.endswith("..") or a != end and a[-1] != ")" or not 0 < len(bare) <= ABBREVIATION or not _letter(bare[-1]):
                 continue
             low = bare.lower()
             if nxt and nxt[0].isdigit():
@@ -242,11 +253,37 @@ def boundary_model(counts: DataFrame, abbreviation_score: float = 3.0, starter_s
     return abbreviations.unionByName(numeric).unionByName(starters).unionByName(together)
 
 
+def row_code(lang: str, kind: str, key: str) -> int:
+    """The number of a row of the model, as xxhash64 gives it for the three columns."""
+    h = 42
+    for part in (lang, kind, key):
+        h = xxhash.xxh64_intdigest(part.encode(), h)
+    return h
+
+
+class Codes:
+    """The model as sorted 64-bit numbers of its rows: eight bytes each, searched, and answers remembered."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = np.sort(codes.view(np.uint64) if codes.dtype == np.int64 else codes.astype(np.uint64))
+        self.seen: dict[tuple[str, str, str], bool] = {}
+
+    def __contains__(self, row: tuple[str, str, str]) -> bool:
+        found = self.seen.get(row)
+        if found is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            code = np.uint64(row_code(*row))
+            at = int(np.searchsorted(self.codes, code))
+            found = self.seen[row] = at < len(self.codes) and self.codes[at] == code
+        return found
+
+
 class Splitter:
-    """Judges the end marks of a text by a learned model."""
+    """Judges the end marks of a text by a learned model: anything that says whether it holds a (lang, kind, key)."""
 
-    def __init__(self, rows: list[tuple[str, str, str]]):
-        self.has = {(a, b, c) for a, b, c in rows}
+    def __init__(self, rows):
+        self.has = {(a, b, c) for a, b, c in rows} if isinstance(rows, list) else rows
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of each unit, end exclusive, trimmed; none for null and blank texts."""
@@ -345,7 +382,7 @@ class Splitter:
             before = text[max(0, c.start() - 1) : c.start()]
             if not (follow.isupper() and (before.isdigit() or before.isalpha() and not before.isupper())):
                 return marks[-1] in "?!؟۔।॥" and not follow.islower() and follow.isalpha() and len(marks) == 1 and not _CJK.match(follow)
-            token = _TOKEN_BEFORE.search(text, max(0, c.start() - 60), c.start()).group()
+            token = _token_before(text, c.start())
             unit = len(token) == 1 and text[max(0, c.start() - 3) : c.start() - 1].strip()[-1:].isdigit()  # 2 h.
             if word is None or not (len(token) > 1 or unit) or re.search(r"[./@\\_:]|^www$", token):
                 return False
@@ -359,7 +396,7 @@ class Splitter:
             return not (rest < end and text[rest].islower())
         if marks[0] != "." or marks.startswith("..") or len(marks) > 1 and marks[1] in ".?!…":
             return True
-        token = _TOKEN_BEFORE.search(text, max(0, c.start() - 60), c.start()).group().lstrip("'’-–—")
+        token = _token_before(text, c.start()).lstrip("'’-–—")
         low = token.lower()
         key = low
         if "'" in low or "’" in low:
@@ -379,35 +416,77 @@ class Splitter:
         return starter
 
 
+def _asked(text: str) -> set[tuple[str, str, str]]:
+    """All rows of a model that splitting this text may look at: an upper bound, taken at every end mark."""
+    lang, out = language(text), set()
+    for c in (_CANDIDATE_GREEK if lang == "el" else _CANDIDATE).finditer(text):
+        token = _token_before(text, c.start())
+        low = token.lstrip("'’-–—").lower()
+        keys = {token.lower(), low, re.split("['’]", low)[-1]}
+        word = _WORD.match(text, _NEXT.match(text, c.end()).end())
+        if word:
+            first = word.group().lower()
+            out.add((lang, "S", first))
+            out.update((lang, "2", f"{k} {first}") for k in keys)
+        out.update((lang, kind, k) for k in keys for kind in "AN")
+    return out
+
+
+def _by_join(picked: DataFrame, learned: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """Splitting without sending the model: each text's own rows of it are joined to the text, by its hash and one of a few salts."""
+    salts = 16  # a text that stands in a third of all rows is split over so many tasks
+    texts = picked.where(F.length(F.trim("text")) > 0).withColumn("h", F.md5("text"))
+
+    def ask(batches):
+        for batch in batches:
+            h, keys = [], []
+            for code, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                found = _asked(text)
+                h += [code] * len(found)
+                keys += found
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), *columns], names=["h", "lang", "kind", "key"])
+
+    asked = texts.select("h", "text").mapInArrow(ask, "h string, lang string, kind string, key string").distinct()
+    held = asked.join(learned, ["lang", "kind", "key"]).groupBy("h").agg(F.collect_list(F.struct("lang", "kind", "key")).alias("model"))  # rows of one text
+    held = materialize(held, "model-by-text").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = texts.withColumn("salt", F.expr(f"pmod(xxhash64(id), {salts})").cast("int")).join(held, ["h", "salt"], "left")
+    return placed.select("id", "text", "model").mapInArrow(run, schema)
+
+
 def split_sentences(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: DataFrame | None = None, model_rows: int = 2_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: DataFrame | None = None, model_rows: int = 10_000_000
 ) -> DataFrame:
     """(id, start_pos, end_pos) of each sentence, heading, label, item or cut-off piece.
 
     Positions count code points, end exclusive; no unit has white space at an end. Null, empty and blank
     texts have no unit; equal rows give equal units once each; a null id is kept. The statistics come from
-    all texts of df unless a model is given. The model holds word types, not documents; one of more than
-    model_rows rows is refused (raise the scores of boundary_model), never cut.
+    all texts of df unless a model is given. A model of up to model_rows rows is sent to the tasks as eight bytes a
+    row; with a larger one each text is joined with the rows it asks for, to the same result.
     """
     spark = df.sparkSession
+    ship(spark)
     learned = boundary_model(boundary_counts(df, text_col)) if model is None else model
-    rows = learned.select("lang", "kind", "key").limit(model_rows + 1).collect()
-    if len(rows) > model_rows:
-        raise ValueError(f"the boundary model has more than {model_rows} rows; raise its scores or model_rows")
-    shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
+    learned = materialize(learned.select("lang", "kind", "key").distinct(), "boundary-model")
     picked = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sent = learned.count() <= model_rows
+    shared = spark.sparkContext.broadcast(learned.select(F.xxhash64("lang", "kind", "key").alias("c")).toArrow().column("c").to_numpy()) if sent else None
     held: dict = {}
 
     def run(batches):
-        if "s" not in held:
-            held["s"] = Splitter(shared.value)
-        s = held["s"]
+        if "s" not in held and shared is not None:
+            held["s"] = Splitter(Codes(shared.value))
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text").to_pylist()
-            found = [s.units(t) for t in texts]
+            if shared is not None:
+                found = [held["s"].units(t) for t in texts]
+            else:
+                models = batch.column("model").to_pylist()
+                found = [Splitter([(r["lang"], r["kind"], r["key"]) for r in m or []]).units(t) for t, m in zip(texts, models)]
             place = np.repeat(np.arange(len(texts)), [len(x) for x in found])
             flat = np.array([u for x in found for u in x], dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(place)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["id", "start_pos", "end_pos"])
 
     schema = T.StructType([T.StructField("id", picked.schema["id"].dataType), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
-    return picked.mapInArrow(run, schema).select(F.col("id").alias(id_col), "start_pos", "end_pos")
+    units = picked.mapInArrow(run, schema) if sent else _by_join(picked, learned, run, schema)
+    return units.select(F.col("id").alias(id_col), "start_pos", "end_pos")

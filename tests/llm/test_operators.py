@@ -473,3 +473,42 @@ def test_mixture(spark):
     assert mixing.Mix(df.limit(0), sources, F.col("p"), F.col("n"), F.col("size"), "doc_id").chosen().count() == 0
     fixed = mixing.Mix(df, sources, F.col("p"), F.col("n"), F.col("size"), "doc_id", total=10**9)
     assert {r.path: r.max_uses for r in fixed.shares().where("taken > 0").collect()} == caps
+    every = mixing.Mix(df, sources, F.col("p"), F.col("n"), F.col("size"), "doc_id", total="all")
+    reached = {r.path: r for r in every.shares().collect()}
+    usable = sum(r[3] or 0 for r in rows if r[1] in caps)
+    assert sum(r.taken for r in reached.values()) >= usable - 3 * 50 and all(abs(r.taken - r.quota) <= 50 for r in reached.values())
+    assert all(r.max_uses <= caps.get(r.path, 0) for r in reached.values())
+    keys = every.stream().select("shard", "order_key").collect()
+    assert keys == sorted(keys)
+
+
+def test_quotas_fill_up():
+    rng = random.Random(8)
+    for _ in range(300):
+        k = rng.randrange(1, 6)
+        size, weight, cap = {i: rng.choice([0, 3, 50, 900]) for i in range(k)}, {i: rng.choice([0.0, 1.0, 7.5]) for i in range(k)}, {i: rng.choice([1, 2, 9]) for i in range(k)}
+        usable = [i for i in range(k) if size[i] and weight[i]]
+        most = sum(cap[i] * size[i] for i in usable)
+        total = rng.choice([1, 40, 1000, 5000])
+        got = mixing.quotas(size, weight, cap, total)
+        assert sorted(got) == usable and abs(sum(got.values()) - min(total, most)) < 1e-6 or not usable
+        open_ = [got[i] / weight[i] for i in usable if got[i] < cap[i] * size[i] - 1e-9]
+        full = [got[i] / weight[i] for i in usable if got[i] >= cap[i] * size[i] - 1e-9]
+        assert not open_ or max(open_) - min(open_) < 1e-6 and all(f <= open_[0] + 1e-6 for f in full)
+
+
+def test_a_model_too_large_to_send_gives_the_same_units(spark):
+    texts = ["Selon M. Durand, le vin est cher. La suite vient. M. Petit dort, etc. Le roi rit. L'art. 5 dit non. Vers 200 av. J.-C. on vit.", None, " ", "Rien. Tout.", "Le roi dort à 9 h. Il rit."] + [f"Selon M. Durand, l'art. {i} dit non. La reine, cf. p. {i}, lit." for i in range(40)]
+    df = spark.createDataFrame([(i % 37, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], "x")], "doc_id long, text string, model string")
+    rows = spark.createDataFrame([(a, b, c, 1.0) for a, b, c in MODEL], "lang string, kind string, key string, score double")
+    for model in (None, rows):
+        sent = sorted(map(str, sentences.split_sentences(df, model=model).collect()))
+        assert sorted(map(str, sentences.split_sentences(df, model=model, model_rows=0).collect())) == sent and len(sent) > 80
+
+
+def test_rows_of_a_model_have_the_same_numbers_in_both_engines(spark):
+    df = spark.createDataFrame(MODEL, "lang string, kind string, key string")
+    for r in df.select("*", F.xxhash64("lang", "kind", "key").alias("c")).collect():
+        assert sentences.row_code(r.lang, r.kind, r.key) == r.c % 2**64
+    codes = sentences.Codes(np.array([r[0] for r in df.select(F.xxhash64("lang", "kind", "key")).collect()], dtype=np.int64))
+    assert all(m in codes for m in MODEL) and ("fr", "A", "zzz") not in codes
