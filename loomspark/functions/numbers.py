@@ -78,3 +78,22 @@ def repetition_penalty(logit: Column, seen: Column, penalty: float) -> Column:
 def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of the parts joined by "-": the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def greedy_token(logits: Column) -> Column:
+    """The place of the largest value, from 0, the first of equals."""
+    return F.array_position(logits, F.array_max(logits)) - 1
+
+
+def sampled_token(logits: Column, chance: Column) -> Column:
+    """The token that a draw `chance` (0 to 1) from the softmax falls on, from 0."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))  # noqa: E731  a value named once is computed once
+    weights = bound(logits, lambda x: bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top))))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+
+    def passed(w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda a, v: a + v)
+        count = lambda t: F.aggregate(w, start, lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["n"] + F.when((a["sum"] + v) / t <= chance, 1).otherwise(0)).alias("n")))["n"]
+        return bound(total, count)
+
+    return F.least(bound(weights, passed), F.size(logits).cast("long") - 1)

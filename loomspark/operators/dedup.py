@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalized_prefix, text_hash
+from ..runtime import materialize
 
 
 def _first(df: DataFrame, key: Column | str, order: str, carry: list[str]) -> DataFrame:
@@ -42,27 +43,47 @@ def dedup(df: DataFrame, order: str, text: str = "text", url: Column | None = No
     return kept.select(order)
 
 
-def near_pairs(df: DataFrame, id_col: str, text: str = "text", n: int = 5, first: int = 200, least: float = 0.5) -> DataFrame:
-    """(a, b, members_a, members_b, shared, jaccard): pairs of different texts whose n-gram sets are more than `least` alike.
+def _gram_sets(df: DataFrame, id_col: str, text: str, n: int, first: int | None) -> DataFrame:
+    """(id, g, k): the sorted 64-bit hashes of a text's n-grams and the hash of the set, for texts with n-grams."""
+    grams = ngrams(F.col(text), n, first)
+    hashed = df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x)))).alias("g"))
+    return hashed.where(F.size("g") > 0).withColumn("k", F.md5(F.array_join("g", ",")))
+
+
+def gram_classes(df: DataFrame, id_col: str, text: str = "text", n: int = 5, first: int | None = None) -> DataFrame:
+    """(id, class): the smallest id among the texts with the same set of n-grams; texts without n-grams have none."""
+    sets = _gram_sets(df, id_col, text, n, first).select("id", "k")
+    least = sets.groupBy("k").agg(F.min("id").alias("class"))
+    return sets.join(least, "k").select(F.col("id").alias(id_col), "class")
+
+
+def near_pairs(df: DataFrame, id_col: str, text: str = "text", n: int = 5, first: int | None = None, least: float = 0.8) -> DataFrame:
+    """(a, b, members_a, members_b, shared, jaccard): pairs of different texts whose n-gram sets are at least `least` alike.
 
     Texts of one n-gram set are a class, stood for by its smallest id and counted as members, so that copies make no
-    pairs. Two sets that alike share a gram among the rarest of each (prefix filter), by which they are joined: no
-    pair is lost, and frequent grams join nothing. Texts without n-grams have no pair.
+    pairs (gram_classes tells who is in a class). Grams are 64-bit hashes. Two sets that alike share a gram among the rarest of
+    each (prefix filter), by which they are joined, and what the places of that gram leave possible must reach the similarity
+    (position filter); grams of one set alone join nothing. No pair is lost.
     """
-    grams = df.select(F.col(id_col).alias("id"), F.array_sort(ngrams(F.col(text), n, first)).alias("g")).where(F.size("g") > 0)
-    classes = grams.groupBy(F.md5(F.array_join("g", "\n")).alias("k")).agg(F.min(F.struct("id", "g")).alias("m"), F.count("*").alias("members")).select("m.id", "m.g", "members")
+    sets = _gram_sets(df, id_col, text, n, first)
+    classes = sets.groupBy("k").agg(F.min(F.struct("id", "g")).alias("m"), F.count("*").alias("members")).select("m.id", "m.g", "members")
+    classes = materialize(classes, "gram-sets")
     single = classes.select("id", F.size("g").alias("size"), F.explode("g").alias("gram"))
     rarity = single.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = single.join(rarity, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))  # one text's grams
     keep = F.col("size") - F.ceil(F.col("size") * least).cast("int") + 1
-    ordered = single.join(rarity, "gram").groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))  # at most `first` grams
-    prefix = ordered.select("id", "size", F.explode(F.slice("o", F.lit(1), F.least(keep, F.col("size")))).alias("x")).select("id", "size", F.col("x.gram").alias("gram"))
-    a = prefix.select(F.col("id").alias("a"), F.col("size").alias("size_a"), "gram")
-    b = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "gram")
+    prefix = ordered.select("id", "size", F.posexplode(F.slice("o", F.lit(1), F.least(keep, F.col("size"))))).where("col.df > 1")
+    prefix = materialize(prefix.select("id", "size", "pos", F.col("col.gram").alias("gram")), "prefixes")
+    a = prefix.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), "gram")
+    b = prefix.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), "gram")
     near_size = (F.col("size_a") >= F.col("size_b") * least) & (F.col("size_b") >= F.col("size_a") * least)
-    candidates = a.join(b, "gram").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
+    # counted from the rarest shared gram on: at most this many grams are shared; the filter holds for that gram, so one row of the pair passes
+    possible = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
+    enough = possible * (1 + least) >= (F.col("size_a") + F.col("size_b")) * least - 1e-9
+    candidates = a.join(b, "gram").where((F.col("a") < F.col("b")) & near_size & enough).select("a", "b").distinct()
     left = classes.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("members").alias("members_a"))
     right = classes.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("members").alias("members_b"))
     shared = F.size(F.array_intersect("ga", "gb"))
     sized = candidates.join(left, "a").join(right, "b").withColumn("shared", shared)
     j = F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))
-    return sized.withColumn("jaccard", j).where(F.col("jaccard") > least).select("a", "b", "members_a", "members_b", "shared", "jaccard")
+    return sized.withColumn("jaccard", j).where(F.col("jaccard") >= least).select("a", "b", "members_a", "members_b", "shared", "jaccard")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import ranked
+
 
 def keep_by_dimensions(scores: dict[str, Column], relevant: Column, threshold: float = 0.65, least: int | None = None) -> dict[str, Column]:
     """passed, relevant and keep: of the relevant dimensions that have a model, at least `least` (None: all) reach the threshold.
@@ -36,3 +38,13 @@ def classifier_report(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     rows = F.array(row("high", tp, fp, fn), row("low", tn, fn, fp), row("all", tp + tn, fp + fn, fp + fn))
     return c.select(F.explode(rows).alias("x")).select("x.*").withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def has_fields(text: str, total: str) -> Column:
+    """Whether a record has a text that is not blank and a total."""
+    return (F.length(F.trim(F.coalesce(F.col(text).cast("string"), F.lit("")))) > 0) & F.col(total).isNotNull()
+
+
+def skip_first(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """df without its first n rows in order."""
+    return ranked(df, order).where(F.col("rank") > n).drop("rank")

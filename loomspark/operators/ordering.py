@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..runtime import materialize
+from ..runtime import join_checked, materialize
 
 #: Rows of a range, on average.
 PER_RANGE = 500_000
@@ -37,3 +37,27 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], per_range:
 
 def ranked(df: DataFrame, order: list[str]) -> DataFrame:
     return running(df, order, {})
+
+
+def numbered(df: DataFrame, series: str, order: list[str]) -> DataFrame:
+    """df with `n`: the row's number in its series, from 0. Ranges of (series, order) are ranked, so a long series is many tasks."""
+    r = ranked(df, [series, *order])
+    first = r.groupBy(F.col(series).alias("_series")).agg(F.min("rank").alias("_first"))
+    return join_checked(r, first, r[series].eqNullSafe(F.col("_series"))).withColumn("n", F.col("rank") - F.col("_first")).drop("rank", "_first", "_series")
+
+
+def with_previous(df: DataFrame, series: str, order: list[str], value: Column, name: str, per_range: int = PER_RANGE) -> DataFrame:
+    """df with `name`: the value of the series' row before, null at its start. Each range hands its last row on to the next."""
+    n = df.count()
+    ranges = max(1, -(-n // per_range))
+    placed = df.withColumn("_v", value)
+    if ranges > 1:
+        placed = materialize(placed.repartitionByRange(ranges, series, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    else:
+        placed = placed.withColumn("_range", F.lit(0))
+    row = F.struct(F.col(series).alias("s"), F.col("_v").alias("v"))
+    last = placed.groupBy("_range").agg(F.max_by(row, F.struct(series, *order)).alias("_edge"))  # one row a range
+    edges = last.select("_range", F.lag("_edge").over(Window.orderBy("_range")).alias("_edge"))
+    w = Window.partitionBy("_range").orderBy(series, *order)
+    out = placed.join(F.broadcast(edges), "_range").withColumn("_before", F.coalesce(F.lag(row).over(w), F.col("_edge")))
+    return out.withColumn(name, F.when(F.col("_before.s").eqNullSafe(F.col(series)), F.col("_before.v"))).drop("_v", "_range", "_edge", "_before")

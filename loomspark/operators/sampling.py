@@ -64,3 +64,26 @@ def interleave(draws: DataFrame, draw: str, weights: list[tuple[str, float]], si
     ends = rows.where("k = size").groupBy("source").agg(F.min(draw).alias("at"))
     last = ends.agg((F.max if strategy == "all_exhausted" else F.min)("at").alias("last"))
     return rows.crossJoin(F.broadcast(last)).where(F.col(draw) <= F.coalesce("last", F.col(draw))).select(draw, "source", "k", ((F.col("k") - 1) % F.col("size")).alias("item"))  # one row
+
+
+def interleave_all(spark, weights: list[tuple[str, float]], sizes: dict[str, int], strategy: str = "all_exhausted", seed: str = "mix") -> DataFrame:
+    """interleave() over as many draws as end it: first as many as are expected to, then twice as many until the last source is done.
+
+    Sources without items or weight are left out; without any the result is empty.
+    """
+    use = [(n, w) for n, w in weights if w > 0 and sizes.get(n, 0) > 0]
+    if not use:
+        return interleave(spark.range(0).withColumnRenamed("id", "draw"), "draw", [("", 1.0)], {"": 1}, strategy, seed)
+    total = sum(w for _, w in use)
+    need = (max if strategy == "all_exhausted" else min)(sizes[n] * total / w for n, w in use)
+    draws, upto, bounds = int(1.1 * need) + 100, 0.0, []
+    for n, w in use:
+        bounds.append((n, upto / total, (upto + w) / total))
+        upto += w
+    while True:
+        u = spark.range(0, draws).select(hash_unit(F.col("id"), F.lit(seed)).alias("u"))
+        got = u.agg(*[F.count(F.when((F.col("u") >= a) & ((F.col("u") < b) | F.lit(k == len(bounds) - 1)), 1)).alias(f"c{k}") for k, (_, a, b) in enumerate(bounds)]).first()
+        done = [got[k] >= sizes[n] for k, (n, _, _) in enumerate(bounds)]
+        if all(done) if strategy == "all_exhausted" else any(done):
+            return interleave(spark.range(0, draws).withColumnRenamed("id", "draw"), "draw", use, sizes, strategy, seed)
+        draws *= 2

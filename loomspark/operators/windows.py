@@ -63,3 +63,17 @@ def head(df: DataFrame, order: str, n: int) -> DataFrame:
 
 def tail(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.orderBy(F.desc(order)).limit(n)
+
+
+def batches(df: DataFrame, order: str, size: int) -> DataFrame:
+    """df with `batch` (consecutive rows in order, from 0) and `batch_size`; the last batch may be shorter."""
+    n = df.count()
+    rows = ranked(df, [order]).withColumn("batch", F.expr(f"(rank - 1) div {size}")).drop("rank")
+    return rows.withColumn("batch_size", F.least(F.lit(size), F.lit(n) - F.col("batch") * size).cast("long"))
+
+
+def causal_window(df: DataFrame, key: str, tokens: str, window: int) -> DataFrame:
+    """(key, pos, first_seen, n_seen): what each position of an array attends to, itself included, at most `window` back."""
+    rows = df.where(F.size(tokens) > 0).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.size(tokens).cast("long") - 1)).alias("pos"))
+    first = F.greatest(F.lit(0).cast("long"), F.col("pos") - (window - 1))
+    return rows.select(key, "pos", first.alias("first_seen"), (F.col("pos") - first + 1).alias("n_seen"))

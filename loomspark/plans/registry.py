@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions.urls import site_of
 from ..operators import audit, dedup, filters, learning, sampling, series, windows
 from ..operators.ordering import ranked
-from ..runtime import materialize, read, shared_dir
+from ..runtime import materialize, read, scratch
 from ..sources import files
 from ..streaming import streams
 from . import sql as S
@@ -82,14 +82,14 @@ def count_rows(spark, d):
 @query("SELECT doc_id, text, false AS bad FROM documents")
 def scan_jsonl(spark, d):
     """Written as JSON lines and read again."""
-    path = f"{shared_dir(spark)}/loomspark-jsonl-{abs(hash(d))}"
-    files.write_jsonl(_docs(spark, d).select("doc_id", "text"), path, "overwrite")
+    path = scratch(spark, "jsonl")
+    files.write_jsonl(_docs(spark, d).select("doc_id", "text"), path)
     return files.scan_jsonl(spark, path, "doc_id long, text string").select("doc_id", "text", "bad")
 
 
 @query(f"SELECT {S.strip('l')} AS text FROM (SELECT unnest(string_split(replace(replace(question, chr(13), ' '), chr(11), ' '), chr(10))) AS l FROM eval_items) WHERE {S.strip('l')} <> ''")
 def scan_txt(spark, d):
-    path = f"{shared_dir(spark)}/loomspark-txt-{abs(hash(d))}"
+    path = scratch(spark, "txt")
     clean = F.replace(F.replace("question", F.lit("\r"), F.lit(" ")), F.lit("\x0b"), F.lit(" "))
     read(spark, d, "eval_items").select(clean.alias("q")).write.mode("overwrite").option("lineSep", "\n").text(path)
     return files.scan_txt(spark, path)
@@ -97,21 +97,20 @@ def scan_txt(spark, d):
 
 @query("SELECT event_id, try_cast(event_type AS DOUBLE) AS kind, CASE WHEN try_cast(event_type AS DOUBLE) IS NULL THEN event_type END AS kind_text FROM events")
 def scan_metrics(spark, d):
-    path = f"{shared_dir(spark)}/loomspark-csv-{abs(hash(d))}"
+    path = scratch(spark, "csv")
     read(spark, d, "events").select("event_id", F.col("event_type").alias("kind")).write.mode("overwrite").option("header", True).csv(path)
     m = files.scan_metrics(spark, path, ["kind"])
     return m.select(F.col("event_id").cast("long").alias("event_id"), "kind", "kind_text")
 
 
-@query()
+@query("SELECT sample_id, len(input_ids)::BIGINT AS n, array_to_string(input_ids, ',') AS ids FROM streaming_sample WHERE len(input_ids) > 0")
 def scan_bin(spark, d):
-    import os
-    import tempfile
-
-    folder = tempfile.mkdtemp(dir=os.environ.get("TMPDIR")) if not shared_dir(spark).startswith("file:") else shared_dir(spark).removeprefix("file://") + f"/bin-{abs(hash(d))}"
-    os.makedirs(folder, exist_ok=True)
-    files.write_tokens(read(spark, d, "streaming_sample"), "sample_id", "input_ids", f"{folder}/tokens.bin", 50257)
-    return files.scan_tokens(spark, f"file://{folder}").select(F.size("ids").alias("n"))
+    """Token arrays written as bytes of two or four each by the tasks, one record a sample, and read again."""
+    path = scratch(spark, "bin")
+    kept = read(spark, d, "streaming_sample").where(F.size("input_ids") > 0)
+    files.write_token_table(kept, "sample_id", "input_ids", path, 50257)
+    t = files.scan_token_table(spark, path, "sample_id")
+    return t.select("sample_id", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
 
 
 @query("""SELECT spec, CASE WHEN n IN (2, 3) THEN p[1] END AS path, CASE WHEN n = 3 THEN nullif(p[2], '') END AS name, CASE WHEN n IN (2, 3) THEN p[n] END AS split,
@@ -143,27 +142,21 @@ def source_smoke(spark, d):
 @query("SELECT doc_id FROM documents WHERE length(text) >= 100")
 def stream_scan(spark, d):
     """The length filter as a stream over the files that are there."""
-    src, base = _docs(spark, d), f"{shared_dir(spark)}/loomspark-stream-{abs(hash((d, id(spark))))}"
+    src, base = _docs(spark, d), scratch(spark, "stream")
     src.select("doc_id", "text").write.mode("overwrite").parquet(base + "-in")
     stream = streams.filtered(streams.file_stream(spark, base + "-in", src.select("doc_id", "text").schema), F.length("text") >= 100).select("doc_id")
-    return streams.to_memory(stream, f"stream_{abs(hash(d))}", "append", base + f"-cp-{spark.sparkContext.startTime}-{_next()}")
-
-
-_calls = [0]
-
-
-def _next() -> int:
-    _calls[0] += 1
-    return _calls[0]
+    streams.run_once(stream, base + "-out", base + "-cp")
+    return spark.read.schema(stream.schema).parquet(base + "-out")
 
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
-    ev, base = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), f"{shared_dir(spark)}/loomspark-win-{abs(hash((d, id(spark))))}"
+    ev, base = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), scratch(spark, "win")
     ev.write.mode("overwrite").parquet(base + "-in")
     counts = streams.windowed_counts(streams.file_stream(spark, base + "-in", ev.schema), "ts", "event_type")
     counts = counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
-    return streams.to_memory(counts, f"win_{abs(hash(d))}", "complete", base + f"-cp-{spark.sparkContext.startTime}-{_next()}")
+    streams.complete_into(counts, base + "-out", base + "-cp").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(base + "-out")
 
 
 # --- text functions --------------------------------------------------------------------------------------------
@@ -242,15 +235,19 @@ def preview(spark, d):
     return _docs(spark, d).select("doc_id", F.substring("text", 1, 300).alias("preview"), F.substring("text", 1, 150).alias("short"))
 
 
-@query()
+_SPANS = r"\$\$(?s:.+?)\$\$|\$[^$\n]+\$|\\\[(?s:.+?)\\\]|\\\((?s:.+?)\\\)|\\boxed\{[^{}]*\}"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(text, {S.q(_SPANS)})) AS n, length(regexp_replace(text, {S.q(_SPANS)}, '', 'g')) AS rest FROM documents WHERE text IS NOT NULL")
 def protect_math(spark, d):
-    p = _docs(spark, d).select("doc_id", X.protect_spans_udf()(F.col("text")).alias("p"))
-    return p.select("doc_id", F.col("p.text").alias("text"), F.size("p.spans").alias("n"))
+    """How many formulas a text has, and its length without them and without their placeholders."""
+    p = _docs(spark, d).where("text is not null").select("doc_id", X.protect_spans_udf()(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p.spans").cast("long").alias("n"), F.length(F.regexp_replace("p.text", " __MATH_[0-9]+__ ", "")).cast("long").alias("rest"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND NOT contains(text, '$') AND NOT contains(text, '\\')")
+@query(f"SELECT doc_id, regexp_replace(text, {S.q('(' + _SPANS + ')')}, ' \\1 ', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def restore_math(spark, d):
-    """Round trip over all texts; the placeholders bring blanks with them, so texts with formulas are equal but for blanks."""
+    """Round trip over all texts: each formula comes back with the two blanks that its placeholder brought."""
     kept = _docs(spark, d).where("text is not null")
     p = kept.select("doc_id", X.protect_spans_udf()(F.col("text")).alias("p"))
     return p.select("doc_id", X.restore_spans(F.col("p.text"), F.col("p.spans")).alias("text"))
@@ -470,7 +467,7 @@ def shard_modulo(spark, d):
 # --- deduplication ---------------------------------------------------------------------------------------------
 
 _AUTH = S.authority("url")
-_D1 = f"d1 AS (SELECT row_id, {_AUTH} AS u, md5({S.prefix('text', 200)}) AS p FROM vesper_edu_fr QUALIFY row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY row_id) = 1)"
+_D1 = f"d1 AS (SELECT row_id, coalesce(url, '') AS u, md5({S.prefix('text', 1000)}) AS p FROM vesper_edu_fr QUALIFY row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY row_id) = 1)"
 _D2 = "d2 AS (SELECT row_id, p FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY row_id) AS k FROM d1) WHERE k = 1 OR u = '')"
 _D3 = "d3 AS (SELECT row_id FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY row_id) AS k FROM d2) WHERE k = 1)"
 
@@ -485,7 +482,7 @@ def dedup_url(spark, d):
     return dedup.dedup(_pages(spark, d), "row_id", url=F.col("url"), fuzzy_chars=None)
 
 
-@query(f"WITH e AS (SELECT doc_id, md5({S.prefix('text', 30)}) AS p FROM documents QUALIFY row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) = 1) SELECT doc_id FROM e QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id) = 1")
+@query(f"WITH e AS (SELECT doc_id, md5({S.prefix('text', 1000)}) AS p FROM documents QUALIFY row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) = 1) SELECT doc_id FROM e QUALIFY row_number() OVER (PARTITION BY p ORDER BY doc_id) = 1")
 def dedup_fuzzy(spark, d):
     return dedup.dedup(_docs(spark, d), "doc_id")
 
@@ -502,17 +499,27 @@ def dedup_summary(spark, d):
     return c.crossJoin(_pages(spark, d).agg(F.count(F.when(F.coalesce(F.col("text"), F.lit("")) == "", 1)).alias("empty")))
 
 
-@query(f"""WITH g AS (SELECT doc_id, list_sort({S.grams('text')}) AS g FROM documents), c AS (SELECT min(doc_id) AS id, any_value(g) AS g, count(*) AS members FROM g WHERE len(g) > 0 GROUP BY md5(array_to_string(g, chr(10)))),
- e AS (SELECT id, unnest(g) AS x FROM c), s AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
- SELECT a, b, ca.members AS members_a, cb.members AS members_b, shared, round(shared / (len(ca.g) + len(cb.g) - shared), 6) AS jaccard FROM s JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared / (len(ca.g) + len(cb.g) - shared) > 0.5""")
+_SETS = f"""g AS (SELECT doc_id, list_sort({S.grams('text', first=None)}) AS g FROM documents), k AS (SELECT *, min(doc_id) OVER (PARTITION BY md5(array_to_string(g, chr(10)))) AS class FROM g WHERE len(g) > 0)"""
+
+
+@query(f"""WITH {_SETS}, c AS (SELECT class AS id, any_value(g) AS g, count(*) AS members FROM k GROUP BY class), e AS (SELECT id, unnest(g) AS x FROM c), f AS (SELECT x FROM e GROUP BY x HAVING count(*) > 1),
+ s AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM e a JOIN f USING (x) JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+ SELECT a, b, ca.members AS members_a, cb.members AS members_b, shared, round(shared / (len(ca.g) + len(cb.g) - shared), 6) AS jaccard FROM s JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared / (len(ca.g) + len(cb.g) - shared) >= 0.8""")
 def near_dup_pairs(spark, d):
+    """Pairs of classes of documents with equal sets of five-word runs, at least 0.8 alike, over whole texts."""
     p = dedup.near_pairs(_docs(spark, d), "doc_id")
     return p.withColumn("jaccard", F.round("jaccard", 6)).withColumn("shared", F.col("shared").cast("long"))
 
 
+@query(f"WITH {_SETS} SELECT doc_id, class FROM k")
+def near_dup_classes(spark, d):
+    """The class of each document that near_dup_pairs speaks of by its smallest member."""
+    return dedup.gram_classes(_docs(spark, d), "doc_id")
+
+
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(coalesce(text, ''))")
 def stream_dedup(spark, d):
-    src, base = _docs(spark, d).select("doc_id", "text"), f"{shared_dir(spark)}/loomspark-sd-{spark.sparkContext.startTime}-{_next()}"
+    src, base = _docs(spark, d).select("doc_id", "text"), scratch(spark, "sd")
     src.write.parquet(base + "-in")
     streams.dedup_into(streams.file_stream(spark, base + "-in", src.schema), "doc_id", "text", base + "-store", base + "-cp").awaitTermination()
     return spark.read.parquet(base + "-store").select("doc_id")
@@ -718,20 +725,21 @@ def mix_probs(spark, d):
     return sampling.mix_probabilities(read(spark, d, "sources")).withColumn("prob", F.round("prob", 8))
 
 
-_MIX = (("fr", 70.0), ("en", 20.0), ("de", 10.0))
-
-
 def _interleaved(strategy: str):
-    pick = "max" if strategy == "all_exhausted" else "min"
-    return f"""WITH n AS (SELECT lang, count(*) AS size FROM documents WHERE lang IN ('fr', 'en', 'de') GROUP BY lang), r AS (SELECT range AS draw, {S.unit('range', S.q('mix'))} AS u FROM range(0, 20 * (SELECT count(*) FROM documents))),
- p AS (SELECT draw, CASE WHEN u < 0.7::DOUBLE THEN 'fr' WHEN u < 0.9::DOUBLE THEN 'en' ELSE 'de' END AS source FROM r), k AS (SELECT draw, source, row_number() OVER (PARTITION BY source ORDER BY draw) AS k FROM p),
- e AS (SELECT {pick}(draw) AS last FROM k JOIN n ON n.lang = k.source AND k.k = n.size) SELECT draw, source, k, (k - 1) % size AS item FROM k JOIN n ON n.lang = k.source, e WHERE draw <= coalesce(last, draw)"""
+    """Sources are the languages, weighted by the square root of their sizes; as many draws as it takes to exhaust them."""
+    pick, most = ("max", 40) if strategy == "all_exhausted" else ("min", 20)
+    return f"""WITH n AS (SELECT lang, count(*) AS size, sqrt(count(*)::DOUBLE) AS weight FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+ t AS (SELECT sum(weight) AS total FROM n), b AS (SELECT lang, size, (sum(weight) OVER (ORDER BY lang)) / total AS upto, coalesce(sum(weight) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total AS low, row_number() OVER (ORDER BY lang DESC) = 1 AS final FROM n, t),
+ r AS (SELECT range AS draw, {S.unit('range', S.q('mix'))} AS u FROM range(0, {most} * (SELECT count(*) FROM documents))),
+ k AS (SELECT draw, lang AS source, size, row_number() OVER (PARTITION BY lang ORDER BY draw) AS k FROM r JOIN b ON u >= low AND (u < upto OR final)),
+ e AS (SELECT {pick}(draw) AS last FROM k WHERE k = size) SELECT draw, source, k, (k - 1) % size AS item FROM k, e WHERE draw <= last"""
 
 
 def _interleave(spark, d, strategy):
-    docs = _docs(spark, d)
-    sizes = {r["lang"]: r["n"] for r in docs.where(F.col("lang").isin([n for n, _ in _MIX])).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    return sampling.interleave(spark.range(0, 20 * docs.count()).withColumnRenamed("id", "draw"), "draw", [(n, w) for n, w in _MIX if n in sizes], sizes, strategy)
+    import math
+
+    sizes = {r["lang"]: r["n"] for r in _docs(spark, d).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    return sampling.interleave_all(spark, [(n, math.sqrt(k)) for n, k in sizes.items()], sizes, strategy)
 
 
 @query(_interleaved("all_exhausted"))
@@ -760,11 +768,11 @@ def bpe_pair_counts(spark, d):
     return p.groupBy(F.expr("substring(w, i, 1)").alias("a"), F.expr("substring(w, i + 1, 1)").alias("b")).agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS id FROM ({_WORDS}) WHERE length(w) <= 12), s AS (SELECT id, w, unnest(range(1, length(w))) AS i FROM v WHERE length(w) > 1)
+@query(f"""WITH v AS (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS id FROM ({_WORDS})), s AS (SELECT id, w, unnest(range(1, length(w))) AS i FROM v WHERE length(w) > 1)
  SELECT s.id AS piece, l.w AS l, r.w AS r, l.id AS lid, r.id AS rid FROM s JOIN v l ON l.w = substring(s.w, 1, s.i) JOIN v r ON r.w = substring(s.w, s.i + 1)""")
 def bpe_merge_extract(spark, d):
     """Every cut of a piece whose halves are pieces too."""
-    v = ranked(_word_counts(spark, d).where(F.length("w") <= 12).select("w", (-F.col("n")).alias("neg")), ["neg", "w"]).select("w", F.col("rank").alias("id"))
+    v = ranked(_word_counts(spark, d).select("w", (-F.col("n")).alias("neg")), ["neg", "w"]).select("w", F.col("rank").alias("id"))
     v = materialize(v, "pieces")
     s = v.where(F.length("w") > 1).select(F.col("id").alias("piece"), "w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i"))
     s = s.select("piece", F.expr("substring(w, 1, i)").alias("l"), F.expr("substring(w, i + 1)").alias("r"))
@@ -792,15 +800,46 @@ def ema_log_loss(spark, d):
     return e.select("user_id", "event_id", F.round("ema", 5).alias("ema"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, value IS NULL OR NOT isfinite(value) AS odd, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ e AS (SELECT user_id, event_id, k, odd AS skipped, CASE WHEN odd THEN NULL ELSE v END AS prev, CASE WHEN odd THEN 0 ELSE 1 END AS step, CASE WHEN odd THEN 1 ELSE 0 END AS streak, false AS rollback FROM s WHERE k = 1
+ UNION ALL SELECT user_id, event_id, k, skip, CASE WHEN skip THEN prev ELSE v END, step + (NOT skip)::INT, CASE WHEN NOT skip OR streak = 9 THEN 0 ELSE streak + 1 END, skip AND streak = 9
+ FROM (SELECT s.*, e.prev, e.step, e.streak, s.odd OR coalesce(e.step > 5 AND s.v > e.prev * 1.5, false) AS skip FROM e JOIN s ON s.user_id = e.user_id AND s.k = e.k + 1))
+ SELECT user_id, event_id, skipped, rollback FROM e""")
 def spike_guard(spark, d):
-    return series.guarded(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", after=5)
+    return series.guarded(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", after=5).drop("ts")
 
 
 @query()
 def lvs_controller(spark, d):
-    e = series.controlled(read(spark, d, "events"), "event_type", ["ts", "event_id"], "value", 20_000, 50_257)
-    return e.select("event_type", "event_id", F.round("lr_scale", 8).alias("lr_scale"), F.round("momentum_scale", 8).alias("momentum_scale"))
+    """Each user's events as a run's log."""
+    e = series.controlled(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 20_000, 50_257)
+    return e.select("user_id", "event_id", F.round("lr_scale", 8).alias("lr_scale"), F.round("momentum_scale", 8).alias("momentum_scale"))
+
+
+_RATE = "SELECT user_id, event_id, n, t FROM (SELECT user_id, event_id, row_number() OVER w - 1 AS n, epoch(ts) - min(epoch(ts)) OVER (PARTITION BY user_id) AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
+
+
+@query(f"SELECT user_id, event_id, n, round(CASE WHEN t > 0 THEN n * 512.0 / t END, 6) AS rate, round(CASE WHEN t > 0 AND n > 0 THEN greatest(0, 1000 - n) / (n / t) END, 2) AS eta FROM ({_RATE})")
+def run_progress(spark, d):
+    """Tokens a second (512 a step) and seconds left to a thousand steps, of each user's events as a run."""
+    p = series.progress(read(spark, d, "events"), "user_id", ["ts", "event_id"], F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.lit(512.0), 1000)
+    return p.select("user_id", "event_id", "n", F.round("rate", 6).alias("rate"), F.round("eta", 2).alias("eta"))
+
+
+@query("WITH b AS (SELECT event_type, block, avg(value) AS avg FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 50 AS block FROM events) GROUP BY 1, 2) SELECT event_type, block, round(avg, 5) AS avg, round(avg - min(avg) OVER (PARTITION BY block), 5) AS lead FROM b")
+def compare_runs(spark, d):
+    c = series.compare_runs(read(spark, d, "events"), "event_type", ["ts", "event_id"], F.col("value"), 50)
+    return c.select("event_type", "block", F.round("avg", 5).alias("avg"), F.round("lead", 5).alias("lead"))
+
+
+@query("SELECT event_id, value FROM events")
+def metrics_resume(spark, d):
+    """A log written up to a step, gone on with from an earlier one: later rows of the old log give way to those of the new."""
+    path, e = scratch(spark, "log"), read(spark, d, "events").select("event_id", "value")
+    middle, back = e.agg(F.expr("percentile_approx(event_id, 0.6)"), F.expr("percentile_approx(event_id, 0.5)")).first()
+    files.append_metrics(e.where(F.col("event_id") <= middle).withColumn("value", F.when(F.col("event_id") > back, F.lit(-1.0)).otherwise(F.col("value"))), path, "event_id")
+    files.append_metrics(e.where(F.col("event_id") > back), path, "event_id", resume=back)
+    return files.read_metrics(spark, path, "event_id", e.schema)
 
 
 # --- learning and calls ----------------------------------------------------------------------------------------
@@ -852,3 +891,97 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_D1}, {_D2}, {_D3} SELECT lang, count(*) AS docs, round(avg(length(text)), 4) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars FROM vesper_edu_fr JOIN d3 USING (row_id) WHERE length(text) >= 100 GROUP BY lang")
 def pipeline(spark, d):
     return flagship(spark, d)
+
+
+# --- further operators of scans, sinks, records and tokens -----------------------------------------------------
+
+
+@query("SELECT text FROM (SELECT doc_id, text FROM documents WHERE coalesce(text, '') <> '' ORDER BY doc_id LIMIT 500)")
+def scan_first_texts(spark, d):
+    """A text scan with a row cap, which is the operator: the first 500 filled texts in order."""
+    return files.scan_texts(windows.head(_docs(spark, d).where("coalesce(text, '') <> ''"), "doc_id", 500), "text")
+
+
+@query("SELECT text FROM documents WHERE coalesce(text, '') <> ''")
+def scan_jsonl_texts(spark, d):
+    path = scratch(spark, "jsonl-texts")
+    files.write_jsonl(_docs(spark, d).select("text"), path)
+    return files.scan_texts(files.scan_jsonl(spark, path, "text string").where("not bad"), "text")
+
+
+@query("SELECT doc_id, md5(to_json({'doc_id': doc_id, 'lang': coalesce(lang, '')})) AS h FROM documents WHERE doc_id % 2 = 0")
+def pass_through_raw(spark, d):
+    """Lines that a filter keeps are written as the bytes they came in; every second document stays."""
+    path, kept = scratch(spark, "raw"), scratch(spark, "raw-kept")
+    files.write_jsonl(_docs(spark, d).select("doc_id", F.coalesce("lang", F.lit("")).alias("lang")), path)
+    files.write_raw(files.scan_jsonl(spark, path, "doc_id long").where("doc_id % 2 = 0"), kept)
+    return files.scan_jsonl(spark, kept, "doc_id long").select("doc_id", F.md5("raw").alias("h"))
+
+
+@query("WITH s AS (SELECT doc_id, length(trim(text)) + 2 AS size FROM documents WHERE length(trim(text)) >= 200), b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING), 0) AS b2, row_number() OVER (ORDER BY doc_id) AS k FROM s) SELECT doc_id, size, CASE WHEN k > 1 AND b2 >= 450000 THEN 'val' ELSE 'train' END AS split FROM b WHERE b < 500000")
+def char_budget_long(spark, d):
+    """Texts under 200 characters are left out before the budget is counted."""
+    t = F.trim(F.col("text"))
+    return windows.budget_split(_docs(spark, d).where(F.length(t) >= 200), "doc_id", F.length(t) + 2, 500_000, 0.1)
+
+
+@query("SELECT doc_id, total FROM annotation WHERE length(trim(coalesce(text, ''))) > 0 AND total IS NOT NULL")
+def valid_records(spark, d):
+    """Records with a text and a total."""
+    return read(spark, d, "annotation").where(filters.has_fields("text", "total")).select("doc_id", "total")
+
+
+@query("SELECT row_id FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS k FROM vesper_edu_fr) WHERE k > 300")
+def resume_skip(spark, d):
+    """A run that starts after its first 300 rows."""
+    return filters.skip_first(_pages(spark, d).select("row_id"), ["row_id"], 300)
+
+
+@query(f"SELECT row_id, {', '.join(f'round({_score_sql(s)}, 3) AS {s}' for s in SCORES)} FROM vesper_edu_fr")
+def rounded_scores(spark, d):
+    return _pages(spark, d).select("row_id", *[F.round(_score(s), 3).alias(s) for s in SCORES])
+
+
+@query("SELECT '# ' || 'vesper_edu_fr' || chr(10) || chr(10) || '- rows: ' || count(*) || chr(10) || '- columns: ' || 'row_id, text, url' || chr(10) || '- characters: ' || sum(length(text))::BIGINT AS card FROM vesper_edu_fr")
+def dataset_card(spark, d):
+    return files.dataset_card(_pages(spark, d).select("row_id", "text", "url"), "vesper_edu_fr", "text")
+
+
+@query("SELECT doc_id, (k - 1) // 64 AS batch, count(*) OVER (PARTITION BY (k - 1) // 64) AS batch_size FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents)")
+def fixed_batches(spark, d):
+    """Batches of 64 documents in order, the last one shorter."""
+    return windows.batches(_docs(spark, d).select("doc_id"), "doc_id", 64)
+
+
+@query("SELECT sample_id, i AS pos, greatest(0, i - 255) AS first_seen, i - greatest(0, i - 255) + 1 AS n_seen FROM (SELECT sample_id, unnest(range(0, len(input_ids))) AS i FROM streaming_sample)")
+def window_mask(spark, d):
+    """Of each position the first it attends to under a causal mask with a window of 256, and how many it sees."""
+    return windows.causal_window(read(spark, d, "streaming_sample"), "sample_id", "input_ids", 256)
+
+
+@query("SELECT vec_id, list_position(embedding, list_max(embedding)) - 1 AS token FROM embeddings")
+def decode_greedy(spark, d):
+    return read(spark, d, "embeddings").select("vec_id", N.greedy_token(F.col("embedding")).alias("token"))
+
+
+@query(f"""WITH p AS (SELECT vec_id, i, exp(embedding[i]::DOUBLE * 3 - 3 * list_max(embedding)::DOUBLE) AS w FROM embeddings, range(1, 65) t(i)), c AS (SELECT vec_id, i, sum(w) OVER (PARTITION BY vec_id ORDER BY i) / sum(w) OVER (PARTITION BY vec_id) AS upto FROM p)
+ SELECT vec_id, coalesce(min(i) FILTER (WHERE upto > {S.unit('vec_id', S.q('draw'))}), 64) - 1 AS token FROM c GROUP BY vec_id""")
+def decode_sampled(spark, d):
+    """One draw from each vector's softmax at temperature 1/3, by a chance hashed from its id."""
+    x = F.transform("embedding", lambda v: v.cast("double") * 3)
+    return read(spark, d, "embeddings").select("vec_id", N.sampled_token(x, N.hash_unit(F.col("vec_id"), F.lit("draw"))).alias("token"))
+
+
+@query("SELECT name, CASE WHEN regexp_matches(v, '^[+-]?[0-9]+$') THEN 'int' WHEN regexp_matches(v, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN 'float' ELSE 'str' END AS kind, try_cast(v AS DOUBLE) AS number FROM (SELECT * FROM (VALUES ('lr', '3e-4'), ('steps', '2000'), ('name', 'vingt'), ('warmup', '.5'), ('decay', '1.')) t(name, v))")
+def coerce_settings(spark, d):
+    """Settings whose numbers are written as text."""
+    got = files.coerce_numbers({"lr": "3e-4", "steps": "2000", "name": "vingt", "warmup": ".5", "decay": "1."})
+    return spark.createDataFrame([(k, type(v).__name__, None if isinstance(v, str) else float(v)) for k, v in got.items()], "name string, kind string, number double")
+
+
+@query(f"SELECT doc_id, md5(coalesce(text, '')) AS h, {S.is_code('text')} AS code FROM documents")
+def registered_functions(spark, d):
+    """The text functions by their SQL names."""
+    X.register(spark)
+    _docs(spark, d).createOrReplaceTempView("_loomspark_documents")
+    return spark.sql("SELECT doc_id, text_hash(text) AS h, is_code(text) AS code FROM _loomspark_documents")

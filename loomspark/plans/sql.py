@@ -33,8 +33,8 @@ def prefix(x: str, n: int) -> str:
     return f"substring({ws(f'lower(coalesce({x}, {q(str())}))')}, 1, {n})"
 
 
-def grams(x: str, n: int = 5, first: int = 200) -> str:
-    w = f"list_slice({words(f'lower({x})')}, 1, {first})"
+def grams(x: str, n: int = 5, first: int | None = 200) -> str:
+    w = words(f"lower({x})") if first is None else f"list_slice({words(f'lower({x})')}, 1, {first})"
     some = f"CASE WHEN len(v) >= {n} THEN list_distinct(list_transform(range(1, len(v) - {n} + 2), lambda i: array_to_string(list_slice(v, i, i + {n} - 1), ' '))) ELSE []::VARCHAR[] END"
     return f"list_transform([{w}], lambda v: {some})[1]"
 

@@ -86,6 +86,132 @@ def read_token_meta(path: str) -> dict:
     return json.loads(side.read_text()) if side.exists() else {"version": 0, "dtype": "uint16", "vocab_size": None}
 
 
+def write_token_table(df: DataFrame, key: str, ids: str, path: str, vocabulary: int) -> None:
+    """Token arrays as little-endian bytes, one record a row, written by the tasks; the type follows from the vocabulary and stands in the sidecar."""
+    kind = "uint16" if vocabulary <= 65535 else "uint32"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            packed = [None if x is None else np.asarray(x, dtype="<u2" if kind == "uint16" else "<u4").tobytes() for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], names=["key", "tokens"])
+
+    picked = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    schema = T.StructType([T.StructField("key", picked.schema["key"].dataType), T.StructField("tokens", T.BinaryType())])
+    picked.mapInArrow(run, schema).write.parquet(f"{path}/tokens")
+    n = df.agg(F.sum(F.coalesce(F.size(ids), F.lit(0)))).first()[0] or 0
+    meta = json.dumps({"version": 1, "vocab_size": vocabulary, "dtype": kind, "n_tokens": int(n)})
+    df.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/meta")
+
+
+def scan_token_table(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, ids) of what write_token_table wrote."""
+    kind = json.loads(spark.read.text(f"{path}/meta").first()[0])["dtype"]
+    table = spark.read.parquet(f"{path}/tokens")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = [None if x is None else np.frombuffer(x, dtype="<u2" if kind == "uint16" else "<u4").astype("int64") for x in batch.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.list_(pa.int64()))], names=["key", "ids"])
+
+    schema = T.StructType([T.StructField("key", table.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.LongType()))])
+    return table.mapInArrow(run, schema).select(F.col("key").alias(key), "ids")
+
+
+def write_raw(df: DataFrame, path: str, raw: str = "raw") -> None:
+    """Lines as they came in, without parsing them again."""
+    df.select(F.col(raw).alias("value")).write.text(path)
+
+
+def append_metrics(df: DataFrame, path: str, step: str, resume: int | None = None) -> None:
+    """Add a run's rows to a log, each run a folder of its own; with `resume` rows of earlier runs after that step no longer count."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_run=*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    run = 0 if found is None else len(found)
+    kept = df if resume is None else df.where(F.col(step) > resume)
+    kept.withColumn("_resume", F.lit(resume).cast("long")).write.parquet(f"{path}/_run={run}")
+
+
+def read_metrics(spark: SparkSession, path: str, step: str, schema: T.StructType) -> DataFrame:
+    """The rows of a log that still count, each step of it once a run went on from an earlier one."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("_resume", T.LongType()), T.StructField("_run", T.IntegerType())])).parquet(path)
+    runs = rows.groupBy("_run").agg(F.max("_resume").alias("back")).collect()  # a row a run
+    keep = F.lit(True)
+    for r in runs:
+        if r["back"] is not None:
+            keep = keep & ((F.col("_run") >= r["_run"]) | (F.col(step) <= r["back"]))
+    return rows.where(keep).select(*schema.names)
+
+
+def dataset_card(df: DataFrame, name: str, text: str) -> DataFrame:
+    """(card): a short description of a table: its rows, columns and characters."""
+    size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars"))
+    columns = ", ".join(df.columns)
+    return size.select(F.concat(F.lit(f"# {name}\n\n- rows: "), F.col("n").cast("string"), F.lit(f"\n- columns: {columns}\n- characters: "), F.col("chars").cast("string")).alias("card"))
+
+
+def tokenized(df: DataFrame, key: str, text: str, model: str, eos: int | None = None) -> DataFrame:
+    """(key, ids) by a tokenizer file (tokenizers' JSON, or a sentencepiece model), each text closed by `eos` if given; null texts as empty."""
+    picked = df.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        encode = encoder_of(model)
+        for batch in batches:
+            ids = encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([x + [eos] if eos is not None else x for x in ids], pa.list_(pa.int64()))], names=["key", "ids"])
+
+    schema = T.StructType([T.StructField("key", picked.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.LongType()))])
+    return picked.mapInArrow(run, schema).select(F.col("key").alias(key), "ids")
+
+
+def model_type(path: str) -> str:
+    """What a tokenizer file holds: bpe, unigram, wordpiece or wordlevel (JSON), or spm-bpe, spm-unigram, spm-word, spm-char."""
+    head = open(path, "rb").read(1)
+    if head == b"{":
+        return json.loads(Path(path).read_text())["model"]["type"].lower()
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(Path(path).read_bytes())
+    return "spm-" + pb.TrainerSpec.ModelType.Name(m.trainer_spec.model_type).lower()
+
+
+def encoder_of(path: str):
+    """A function from texts to lists of ids, without special tokens."""
+    if not model_type(path).startswith("spm-"):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    import sentencepiece
+
+    s = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda texts: s.encode(texts, num_threads=1)
+
+
+def coerce_numbers(settings: dict) -> dict:
+    """Settings in which numbers written as text (1e-4, 2000) are numbers, at any depth."""
+    def one(v):
+        if isinstance(v, dict):
+            return {k: one(x) for k, x in v.items()}
+        if isinstance(v, list):
+            return [one(x) for x in v]
+        if isinstance(v, str) and re.fullmatch(r"[+-]?\d+", v):
+            return int(v)
+        if isinstance(v, str) and re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", v):
+            return float(v)
+        return v
+
+    return one(settings)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 

@@ -27,19 +27,21 @@ def windowed_counts(stream: DataFrame, time: str, key: str, every: str = "1 hour
 def dedup_into(stream: DataFrame, order: str, text: str, store: str, checkpoint: str) -> StreamingQuery:
     """Keep the first row of each text over all batches: a batch's own firsts, less those whose hash the store has.
 
-    The store is a parquet folder of (order, hash, batch), one subfolder a batch, overwritten if a batch is tried again.
+    The store is a parquet folder of (order, hash, part, batch), one subfolder a batch, overwritten if a batch is tried again, and in
+    it one a part of the hashes; of earlier batches only the hashes are read, and only of the parts that the batch has.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        firsts = df.select(order, text_hash(F.col(text)).alias("h")).groupBy("h").agg(F.min(order).alias(order))
+        firsts = df.select(order, text_hash(F.col(text)).alias("h")).groupBy("h").agg(F.min(order).alias(order)).withColumn("part", F.substring("h", 1, 2))
         try:
-            seen = spark.read.parquet(store).where(F.col("batch") != number).select("h")
-            firsts = firsts.join(seen, "h", "left_anti")
+            parts = [r["part"] for r in firsts.select("part").distinct().collect()]  # at most 256
+            seen = spark.read.parquet(store).where((F.col("batch") != number) & F.col("part").isin(parts)).select("h", "part")
+            firsts = firsts.join(seen, ["h", "part"], "left_anti")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-        firsts.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        firsts.write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -49,11 +51,10 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path=sink, format="parquet").awaitTermination()
 
 
-def to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("memory").queryName(name).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def complete_into(stream: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """The whole state of an aggregation after each batch, over the parquet folder of the batch before."""
+    return batch_sink(lambda df, _: df.write.mode("overwrite").parquet(sink), stream, checkpoint, "complete")
 
 
-def batch_sink(write: Callable[[DataFrame, int], None], stream: DataFrame, checkpoint: str) -> StreamingQuery:
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def batch_sink(write: Callable[[DataFrame, int], None], stream: DataFrame, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
