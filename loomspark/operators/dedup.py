@@ -57,8 +57,8 @@ def gram_classes(df: DataFrame, id_col: str, text: str = "text", n: int = 5, fir
     return sets.join(least, "k").select(F.col("id").alias(id_col), "class")
 
 
-def near_pairs(df: DataFrame, id_col: str, text: str = "text", n: int = 5, first: int | None = None, least: float = 0.8) -> DataFrame:
-    """(a, b, members_a, members_b, shared, jaccard): pairs of different texts whose n-gram sets are at least `least` alike.
+def near_pairs(df: DataFrame, id_col: str, text: str = "text", n: int = 5, first: int | None = None, least: float = 0.5, equal: bool = False) -> DataFrame:
+    """(a, b, members_a, members_b, shared, jaccard): pairs of different texts whose n-gram sets are more than `least` alike (or as much, with `equal`).
 
     Texts of one n-gram set are a class, stood for by its smallest id and counted as members, so that copies make no
     pairs (gram_classes tells who is in a class). Grams are 64-bit hashes. Two sets that alike share a gram among the rarest of
@@ -86,4 +86,4 @@ def near_pairs(df: DataFrame, id_col: str, text: str = "text", n: int = 5, first
     shared = F.size(F.array_intersect("ga", "gb"))
     sized = candidates.join(left, "a").join(right, "b").withColumn("shared", shared)
     j = F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared"))
-    return sized.withColumn("jaccard", j).where(F.col("jaccard") >= least).select("a", "b", "members_a", "members_b", "shared", "jaccard")
+    return sized.withColumn("jaccard", j).where(F.col("jaccard") >= least if equal else F.col("jaccard") > least).select("a", "b", "members_a", "members_b", "shared", "jaccard")

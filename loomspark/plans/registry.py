@@ -507,7 +507,7 @@ _SETS = f"""g AS (SELECT doc_id, list_sort({S.grams('text', first=None)}) AS g F
  SELECT a, b, ca.members AS members_a, cb.members AS members_b, shared, round(shared / (len(ca.g) + len(cb.g) - shared), 6) AS jaccard FROM s JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared / (len(ca.g) + len(cb.g) - shared) >= 0.8""")
 def near_dup_pairs(spark, d):
     """Pairs of classes of documents with equal sets of five-word runs, at least 0.8 alike, over whole texts."""
-    p = dedup.near_pairs(_docs(spark, d), "doc_id")
+    p = dedup.near_pairs(_docs(spark, d), "doc_id", least=0.8, equal=True)
     return p.withColumn("jaccard", F.round("jaccard", 6)).withColumn("shared", F.col("shared").cast("long"))
 
 

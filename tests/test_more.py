@@ -106,10 +106,10 @@ def test_near_pairs_like_brute_force(spark):
         if g:
             sets.setdefault(g, []).append(i)
     want = {(min(sets[a]), min(sets[b])): len(a & b) / len(a | b) for a in sets for b in sets if min(sets[a]) < min(sets[b]) and len(a & b) / len(a | b) >= 0.8}
-    got = {(r.a, r.b): r.jaccard for r in dedup.near_pairs(df, "i").collect()}
+    got = {(r.a, r.b): r.jaccard for r in dedup.near_pairs(df, "i", least=0.8, equal=True).collect()}
     assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert {r["i"]: r["class"] for r in dedup.gram_classes(df, "i").collect()} == {i: min(m) for m in sets.values() for i in m}
-    assert dedup.near_pairs(df.limit(0), "i").count() == 0
+    assert dedup.near_pairs(df.limit(0), "i", least=0.8, equal=True).count() == 0
 
 
 def test_interleave_ends_when_the_last_source_does(spark):
