@@ -10,6 +10,8 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..runtime import join_checked, materialize, ship
 
@@ -37,37 +39,36 @@ def water_fill(top: list[int], total: int, share: float | str | Fraction) -> int
     return max(1, int(level))
 
 
-def kth_smallest(df: DataFrame, group: str, value: str, wanted: dict, buckets: int = 4096) -> dict:
-    """For each group key its k-th smallest (k from 1) value of a long column without nulls.
+def kth_table(rows: DataFrame, wanted: DataFrame, buckets: int = 256) -> DataFrame:
+    """(g, last, below): for each group of wanted (g, k) the k-th smallest value (k from 1) of rows (g, v), and how many are smaller.
 
-    Each pass counts the rows of at most `buckets` equal intervals a group and keeps the one that holds the k-th;
-    an interval of one value ends the search. The driver holds buckets x groups numbers, and no rows.
+    Each pass counts the rows of at most `buckets` equal intervals a group, by partial sums, and keeps the one that holds the
+    k-th; the search ends when every interval has one value. State and counts are tables: neither rows nor groups come to
+    the driver, and no group is sorted or gathered. Values are longs without nulls; groups with fewer than k rows are left out.
     """
-    out: dict = {}
-    rows = df.select(F.col(group).alias("_g"), F.col(value).cast("decimal(20,0)").alias("_v"))  # differences of longs may overflow a long
-    ends = rows.groupBy("_g").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-    open_ = {r["_g"]: [int(r["lo"]), int(r["hi"]), wanted[r["_g"]]] for r in ends if r["_g"] in wanted}
-    while open_:
-        for g in [g for g, (lo, hi, _) in open_.items() if lo == hi]:
-            out[g] = open_.pop(g)[0]
-        if not open_:
-            break
-        width = {g: -(-(hi - lo + 1) // buckets) for g, (lo, hi, _) in open_.items()}
-        bounds = df.sparkSession.createDataFrame([(g, lo, hi, width[g]) for g, (lo, hi, _) in open_.items()], "_g string, lo long, hi long, width long")
-        inside = rows.join(F.broadcast(bounds), "_g").where(F.col("_v").between(F.col("lo"), F.col("hi")))  # a row a group, of which the caller has few
-        counts = inside.groupBy(F.col("_g").alias("g"), F.expr("(_v - cast(lo as decimal(20,0))) div width").alias("b")).agg(F.count("*").alias("n")).collect()
-        by: dict = {}
-        for r in counts:
-            by.setdefault(r["g"], []).append((r["b"], r["n"]))
-        for g, parts in by.items():
-            lo, hi, k = open_[g]
-            for b, n in sorted(parts):
-                if k <= n:
-                    start = lo + b * width[g]
-                    open_[g] = [start, min(hi, start + width[g] - 1), k]
-                    break
-                k -= n
-    return out
+    exact = "decimal(20,0)"  # differences of longs may overflow a long
+    rows = rows.select("g", F.col("v").cast(exact).alias("v"))
+    ends = join_checked(rows, wanted, ["g"]).groupBy("g", "k").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    state = materialize(ends.where("n >= k").select("g", "lo", "hi", F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("below")), "narrowing")
+    by_bucket = Window.partitionBy("g").orderBy("b")  # at most `buckets` rows a group
+    while not state.where("lo < hi").isEmpty():
+        open_ = materialize(state.where("lo < hi").withColumn("width", F.ceil((F.col("hi") - F.col("lo") + 1) / buckets).cast(exact)), "narrowing")
+        inside = join_checked(rows, open_, ["g"]).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        counts = inside.groupBy("g", "lo", "hi", "k", "below", "width", F.expr("(v - lo) div width").cast(exact).alias("b")).agg(F.count("*").alias("n"))
+        counts = counts.withColumn("upto", F.sum("n").over(by_bucket))
+        hit = counts.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+        start = (F.col("lo") + F.col("b") * F.col("width")).cast(exact)
+        end = F.least(F.col("hi"), (start + F.col("width") - 1).cast(exact))
+        before = F.col("upto") - F.col("n")
+        narrowed = hit.select("g", start.alias("lo"), end.cast(exact).alias("hi"), (F.col("k") - before).alias("k"), (F.col("below") + before).alias("below"))
+        state = materialize(state.where("lo = hi").select("g", "lo", "hi", "k", "below").unionByName(narrowed), "narrowing")
+    return state.select("g", F.col("lo").cast("long").alias("last"), "below")
+
+
+def kth_smallest(df: DataFrame, group: str, value: str, wanted: dict, buckets: int = 256) -> dict:
+    """kth_table for a few groups named by the caller, as a dict."""
+    ks = df.sparkSession.createDataFrame(list(wanted.items()), "g string, k long")
+    return {r["g"]: r["last"] for r in kth_table(df.select(F.col(group).alias("g"), F.col(value).alias("v")), ks, buckets).collect()}
 
 
 def cap_contributors(
@@ -77,17 +78,19 @@ def cap_contributors(
 
     The cap is the smallest of max_count, the count that of_input x all rows gives (rounded down, at least 1), and
     the water level of max_share (no contributor above that share of what is kept). Quality is a whole number within
-    `levels`; null and others rank behind all. Equal ids of one quality are kept or dropped by a hash of the row;
-    rows equal in all columns and at the limit are kept or dropped together only as the count allows. Rows without a
+    `levels`; null and others rank behind all. Equal ids of one quality are kept by a hash of the row, of rows equal in all
+    columns as many as the count allows. Ids that are no numbers are ranked by their hash. Rows without a
     contributor are always kept. A null id ranks last in its quality. An empty table stays empty.
     """
     spark = df.sparkSession
     ship(spark)
     lo, hi = levels
     kept_cols = df.columns
+    kind = df.schema[id_col].dataType
+    number = F.col(id_col).cast("long") if isinstance(kind, T.NumericType) else F.when(F.col(id_col).isNotNull(), F.coalesce(F.expr(f"try_cast(cast(`{id_col}` as string) as long)"), F.xxhash64(id_col)))
     q = quality.cast("long")
     rank_level = F.when(q.between(lo, hi), hi - q).otherwise(F.lit(hi - lo + 1))
-    base = df.select(F.struct(*[F.col(f"`{c}`") for c in kept_cols]).alias("row"), contributor.cast("string").alias("who"), rank_level.alias("level"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("id"))
+    base = df.select(F.struct(*[F.col(f"`{c}`") for c in kept_cols]).alias("row"), contributor.cast("string").alias("who"), rank_level.alias("level"), F.coalesce(number, F.lit(2**63 - 1)).alias("id"))
     narrow = base.select("who", "level", "id")
     counts = narrow.where("who is not null").groupBy("who", "level").agg(F.count("*").alias("n"))
     counts = materialize(counts, "contributors")
@@ -111,41 +114,28 @@ def cap_contributors(
         a["at"] >= 0, a).when(a["sum"] + x["n"] > cap, F.struct(a["sum"].alias("sum"), x["level"].alias("at"), (F.lit(cap) - a["sum"]).alias("left"))).otherwise(
         F.struct((a["sum"] + x["n"]).alias("sum"), a["at"].alias("at"), a["left"].alias("left"))))
     edge = materialize(levels_of.select("who", before.alias("b")).select("who", F.col("b.at").alias("edge"), F.col("b.left").alias("room")), "edges")
+    # the id at which the cap falls inside that level; ids that repeat there are told apart by a hash of the row, equal rows by a number
     at_edge = join_checked(narrow, edge, ["who"]).where("level = edge and room > 0")
-    few = edge.where("room > 0").limit(2001).collect()
-    if len(few) <= 2000:
-        rooms = {r["who"]: r["room"] for r in few}
-        last = kth_smallest(at_edge, "who", "id", rooms, buckets=max(64, 400_000 // max(1, len(rooms)))) if rooms else {}
-        limits = spark.createDataFrame(list(last.items()), "who string, last long")
-        edge = edge.join(F.broadcast(limits), "who", "left")  # at most 2,000 rows
-    else:  # a low cap with many contributors over it: each one's edge has few rows to keep, found by a heap a task
-        edge = edge.join(_last_by_partial_top(at_edge), "who", "left")
-    edge = materialize(edge, "limits")
-    placed = base.join(F.broadcast(edge), "who", "left") if edge.limit(2001).count() <= 2000 else base.join(edge, "who", "left")
-    # rows that share the last id (repeated ids): as many of them stay as there is room
-    ties = placed.where("edge is not null and room > 0 and level = edge").groupBy("who").agg(
-        F.sum(F.when(F.col("id") < F.col("last"), 1).otherwise(0)).alias("below"), F.sum(F.when(F.col("id") == F.col("last"), 1).otherwise(0)).alias("equal"), F.max("room").alias("r"))
-    torn = {r["who"]: r["r"] - r["below"] for r in ties.where("below + equal > r").collect()} if not ties.where("below + equal > r").limit(1).isEmpty() else {}
+    last = kth_table(at_edge.select(F.col("who").alias("g"), F.col("id").alias("v")), edge.where("room > 0").select(F.col("who").alias("g"), F.col("room").alias("k")))
+    edge = materialize(edge.join(last.withColumnRenamed("g", "who"), "who", "left"), "limits")
+    placed = join_checked(base, edge, ["who"], "left")
+    at_last = (F.col("level") == F.col("edge")) & (F.col("room") > 0) & (F.col("id") == F.col("last"))
+    same = placed.where(at_last).groupBy("who").agg(F.count("*").alias("equal"), (F.max("room") - F.max("below")).alias("left"))
+    torn = materialize(same.where(F.col("equal") > F.col("left")).select("who", "left"), "torn")
     sure = F.col("edge").isNull() | (F.col("level") < F.col("edge")) | ((F.col("level") == F.col("edge")) & (F.col("room") > 0) & (F.col("id") <= F.col("last")))
-    if torn:
-        tie = (F.col("level") == F.col("edge")) & (F.col("id") == F.col("last")) & F.col("who").isin(list(torn))
-        from pyspark.sql.window import Window
-
-        w = Window.partitionBy("who").orderBy(F.xxhash64("row"))
-        tied = placed.where(tie).withColumn("k", F.row_number().over(w))  # rows of one id alone
-        room = F.create_map(*[x for g, n in torn.items() for x in (F.lit(g), F.lit(n))])
-        tied = tied.withColumn("kept", F.col("k") <= room[F.col("who")]).drop("k")
-        placed = placed.where(~F.coalesce(tie, F.lit(False))).withColumn("kept", sure).unionByName(tied)
-        return placed.select("row.*", "kept")
-    return placed.select("row.*", sure.alias("kept"))
-
-
-def _last_by_partial_top(at_edge: DataFrame) -> DataFrame:
-    """(who, last): the room-th smallest id of each contributor, by ever smaller id ranges kept apart by hash buckets."""
-    from pyspark.sql.window import Window
-
-    spread = at_edge.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    w = Window.partitionBy("who", "salt").orderBy("id")
-    first = spread.withColumn("k", F.row_number().over(w)).where("k <= room")  # a 64th of a contributor a task
-    w2 = Window.partitionBy("who").orderBy("id")
-    return first.withColumn("k", F.row_number().over(w2)).where("k = room").select("who", F.col("id").alias("last"))
+    if torn.isEmpty():
+        return placed.select("row.*", sure.alias("kept"))
+    placed = join_checked(placed, torn, ["who"], "left").withColumn("tie", F.coalesce(at_last & F.col("left").isNotNull(), F.lit(False)))
+    tied = materialize(placed.where("tie").select("row", "who", "left", F.xxhash64("row").alias("h"), F.monotonically_increasing_id().alias("m")), "tied")
+    for value in ("h", "m"):
+        wanted = tied.groupBy(F.col("who").alias("g")).agg(F.max("left").alias("k")) if value == "h" else alike
+        found = kth_table(tied.select(F.col("who").alias("g"), F.col(value).alias("v")) if value == "h" else same_hash, wanted)
+        cut = materialize(found.select(F.col("g").alias("who"), F.col("last").alias(f"last_{value}"), F.col("below").alias(f"below_{value}")), "cut")
+        tied = join_checked(tied, cut, ["who"], "left")
+        if value == "h":
+            at_hash = tied.where(F.col("h") == F.col("last_h"))
+            same_hash = at_hash.select(F.col("who").alias("g"), F.col("m").alias("v"))
+            alike = materialize(at_hash.groupBy(F.col("who").alias("g")).agg((F.max("left") - F.max("below_h")).alias("k")), "alike")
+    kept = (F.col("h") < F.col("last_h")) | ((F.col("h") == F.col("last_h")) & (F.col("m") <= F.col("last_m")))
+    rest = placed.where("not tie").select("row.*", sure.alias("kept"))
+    return rest.unionByName(tied.select("row.*", kept.alias("kept")))
