@@ -17,11 +17,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import ship
+from ..runtime import join_checked, materialize, ship
 
 #: Words of a seed. A passage of 24 words with one change in ten keeps a run of at least seven.
 SEED = 5
@@ -227,9 +228,10 @@ def find_leaks(
 
     A leak is a run of `run` words of the question, or `least` words with at most one in `per` changed,
     dropped or added, or (if given) tiles that cover the share `coverage` of the question in any order.
-    The items are sent to the tasks in blocks of `block` rows, all documents being read once a block, so no
-    item set is too large. Null and empty texts or questions leak nothing; rows that repeat (same ids) give
-    one row; null ids are kept.
+    Up to `block` items are sent to the tasks, and the documents read once. More are joined by their seeds instead: hashes of
+    five-word runs of both sides are shuffled, copies of a document once, and the pairs that share as many as any leak
+    keeps are compared. Both ways give the same rows. Null and empty texts or questions leak nothing; rows that repeat
+    (same ids) give one row; null ids are kept.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -270,18 +272,65 @@ def find_leaks(
 
         return search
 
-    out = None
-    rows: list = []
-    for r in [*asked.toLocalIterator(), None]:
-        if r is not None:
-            rows.append((r["i"], r["q"]))
-        if rows and (r is None or len(rows) == block):
-            part = picked.mapInArrow(searcher(spark.sparkContext.broadcast(rows)), schema)
-            out, rows = part if out is None else out.unionByName(part), []
-    out = spark.createDataFrame([], schema) if out is None else out
+    asked = materialize(asked, "items")
+    if asked.count() <= block:
+        out = picked.mapInArrow(searcher(spark.sparkContext.broadcast([(r["i"], r["q"]) for r in asked.collect()])), schema)
+    else:
+        need = seeds_needed(run, least, per, 10 * least) if coverage is None else 1  # longer items keep more seeds, not fewer
+        out = _by_seeds(picked, asked, schema, need, lambda q, d: compare(q, d, run, least, per), coverage)
     return out.groupBy("d", "i").agg(F.max("longest_run").alias("longest_run"), F.max("coverage").alias("coverage")).select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "longest_run", "coverage")
 
 
+def _seeds(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, h): the distinct codes of a text's runs of SEED words, from hashes of the words."""
+
+    def find(batches):
+        number: dict[str, int] = {}
+        for batch in batches:
+            keys, codes = [], []
+            for k, t in enumerate(batch.column("text").to_pylist()):
+                if len(number) > 500_000:
+                    number.clear()
+                ws = fast_words(t)
+                for w in ws:
+                    if w not in number:
+                        number[w] = xxhash.xxh3_64_intdigest(w) >> 1 | 1
+                h = np.unique(Items.roll(np.array([number[w] for w in ws], dtype=np.int64))[0])
+                keys += [k] * len(h)
+                codes.append(h.view(np.int64))
+            flat = np.concatenate([*codes, np.empty(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(flat)], names=["key", "h"])
+
+    picked = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = T.StructType([T.StructField("key", picked.schema["key"].dataType), T.StructField("h", T.LongType())])
+    return picked.mapInArrow(find, schema).withColumnRenamed("key", key).distinct()
+
+
+def _by_seeds(picked: DataFrame, asked: DataFrame, schema: T.StructType, need: int, judge, coverage: float | None) -> DataFrame:
+    """Rows of schema for all leaks, by a join of documents' and items' seeds; the items stay in a table."""
+    numbered = materialize(asked.withColumn("k", F.monotonically_increasing_id()), "items")
+    texts = picked.where("text <> ''").withColumn("c", F.md5("text"))
+    shared = _seeds(texts, "c", "text").join(_seeds(numbered, "k", "q"), "h").groupBy("c", "k").agg(F.count("*").alias("seeds"))
+    pairs = materialize(shared.where(F.col("seeds") >= need).select("c", "k"), "pairs")
+    asked_of = join_checked(texts, pairs, ["c"])
+    both = asked_of.join(numbered, "k").select("d", "text", "i", "q")
+
+    def run(batches):
+        for batch in batches:
+            keep = ([], [], [])
+            for row, (text, q) in enumerate(zip(batch.column("text").to_pylist(), batch.column("q").to_pylist())):
+                number: dict[str, int] = {}
+                asked_codes = np.array([number.setdefault(w, len(number) + 1) for w in fast_words(q)], dtype=np.int64)
+                longest, share, leak = judge(asked_codes, np.array([number.get(w, 0) for w in fast_words(text)], dtype=np.int64))
+                if leak or coverage is not None and share >= coverage:
+                    for col, v in zip(keep, (row, longest, share)):
+                        col.append(v)
+            take = pa.array(keep[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(take), batch.column("i").take(take), pa.array(keep[1], pa.int32()), pa.array(keep[2], pa.float64())], names=["d", "i", "longest_run", "coverage"])
+
+    return both.mapInArrow(run, schema)
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -512,3 +512,21 @@ def test_rows_of_a_model_have_the_same_numbers_in_both_engines(spark):
         assert sentences.row_code(r.lang, r.kind, r.key) == r.c % 2**64
     codes = sentences.Codes(np.array([r[0] for r in df.select(F.xxhash64("lang", "kind", "key")).collect()], dtype=np.int64))
     assert all(m in codes for m in MODEL) and ("fr", "A", "zzz") not in codes
+
+
+def test_items_by_seeds_like_items_sent(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    items = [(i % 25, " ".join(rng.choice(words) for _ in range(rng.choice([11, 14, 30, 60])))) for i in range(40)]
+    docs = []
+    for i in range(120):
+        q = rng.choice(items)[1].split()
+        part = q[: rng.choice([11, 12, 24, 40])]
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            part[rng.randrange(len(part))] = "zz"
+        docs.append((i % 100, " ".join(["aa"] * 5 + part + ["bb"] * 3)))
+    docs += [docs[0]] * 9 + [(None, docs[1][1]), (7, None), (8, "")]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string")
+    for coverage in (None, 0.8):
+        sent = sorted(map(str, leakage.find_leaks(d, t, coverage=coverage).collect()))
+        assert sorted(map(str, leakage.find_leaks(d, t, coverage=coverage, block=3).collect())) == sent and len(sent) > 20
