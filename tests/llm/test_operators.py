@@ -116,8 +116,7 @@ def test_abbreviations_are_learned(spark):
     got = sentences.split_sentences(df)
     assert got.where("doc_id = 0").count() == 18 and got.where("doc_id is null").count() == 2 and got.where("doc_id = 98").count() == 0
     assert sentences.split_sentences(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        sentences.split_sentences(df, model_rows=1)
+    assert sorted(map(str, sentences.split_sentences(df, model_rows=1).collect())) == sorted(map(str, got.collect()))  # refused before, now joined
 
 
 # --- 9 ---------------------------------------------------------------------------------------------------------
