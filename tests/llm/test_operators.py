@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions.urls import site_of
-from loomspark.llm import boilerplate, bpe, budget, capping, leakage, mixing, packing, repeated, sentences, textstats
+from loomspark.llm import boilerplate, bpe, budget, capping, leakage, mixing, packing, queries, repeated, sentences, textstats
 from loomspark.llm.boilerplate_labels import pages
 from loomspark.llm.blocks import page_features
 from loomspark.llm.tree import Forest
@@ -316,6 +316,32 @@ def test_repeated_lines_like_brute_force(spark):
     assert repeated.repeated_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_lines_come_out_of_clusters(spark, tmp_path):
+    """Lines alike but for a name are one cluster; rows are counted once for each, and only forms in enough rows of their own are found."""
+    notice = "Merci de lire les cours du soir de {} avant de venir en salle et de noter chaque point utile dans le carnet de bord"
+    rows = [(i, notice.format("Aline" if i < 6 else "Berthe" if i < 12 else f"C{'abcdefgh'[i - 12] * 3}"), "https://a.test/") for i in range(20)]
+    rows += [(20 + i, f"phrase {c * 4} seule", "https://b.test/") for i, c in enumerate("abcdefghij")]
+    rows[20] = (20, "\n".join(notice.format(n) for n in ("Aline", "Berthe", "Claire", "Denise", "Emma")), "https://b.test/")  # one row alone
+    df = spark.createDataFrame(rows, "row_id long, text string, url string")
+    found = repeated.repeated_lines(df).collect()
+    assert {(r.row_id, r.line_no) for r in found} == {(i, 0) for i in range(12)} and {r.rows for r in found} == {6}
+    assert len({r.cluster for r in found}) == 1
+    near = repeated.repeated_lines(df, near=0.8).collect()
+    assert {(r.row_id, r.line_no) for r in near} == {(i, 0) for i in range(20)} and {r.rows for r in near} == {20}
+    assert {r.cluster for r in near} == {r.cluster for r in found}
+    df.write.parquet(f"{tmp_path}/vesper_edu_fr.parquet")
+    assert {tuple(r) for r in queries.queries()["p6_found"](spark, str(tmp_path)).collect()} == {(i, 0) for i in range(12)}
+
+
+def test_components_of_few_and_of_many_links(spark):
+    rng = random.Random(61)
+    pairs = {(f"s{rng.randrange(3)}", rng.randrange(60), rng.randrange(60)) for _ in range(110)} | {("chain", k, k + 1) for k in range(40)}
+    rows = [(s, bytes([x]), bytes([y])) for s, a, b in pairs if a != b for x, y in ((a, b), (b, a))]
+    links = repeated.materialize(spark.createDataFrame(rows, "site string, set binary, other binary"), "links")
+    few, many = ({tuple(map(str, r)) for r in repeated._components(links, n).collect()} for n in (1000, 0))
+    assert few == many and len(few) == len({r[:2] for r in rows}) and len({r[2] for r in few if r[0] == "chain"}) == 1
+
+
 # --- 1 ---------------------------------------------------------------------------------------------------------
 
 
