@@ -333,6 +333,42 @@ def test_repeated_lines_come_out_of_clusters(spark, tmp_path):
     assert {tuple(r) for r in queries.queries()["p6_found"](spark, str(tmp_path)).collect()} == {(i, 0) for i in range(12)}
 
 
+def test_repeated_lines_are_linked_from_forms_in_enough_rows_on(spark, monkeypatch):
+    """Texts are compared for clusters with such a form only, over all forms of these; labels are those of all clusters."""
+    rng = random.Random(63)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstvz", k=6))
+    more = [word() for _ in range(32)]
+    chain = [" ".join(more[2 * k : 2 * k + 24]) for k in range(5)]  # its ends are unlike, and only they stand in enough rows
+    rows = [(i, chain[0 if i < 6 else 4 if i < 12 else min(i - 11, 3)] if i < 15 else word(), "https://a.test/") for i in range(40)]
+    notice = "Merci de lire les cours du soir de {} avant de venir en salle et de noter chaque point utile dans le carnet de bord"
+    rows += [(40 + i, notice.format(word().capitalize()), "https://b.test/") for i in range(30)]  # enough rows together, one each
+    df = spark.createDataFrame(rows, "row_id long, text string, url string")
+    tables, write = {}, repeated.materialize
+
+    def kept(table, name):
+        tables[name] = write(table, name)
+        return tables[name]
+
+    monkeypatch.setattr(repeated, "materialize", kept)
+    found = {(r.row_id, r.line_no): (r.cluster, r.rows) for r in repeated.repeated_lines(df).collect()}
+    assert set(found) == {(i, 0) for i in range(12)} and {n for _, n in found.values()} == {6}
+    assert tables["runs"].count() == len(chain)
+    near = {(r.row_id, r.line_no): r.cluster for r in repeated.repeated_lines(df, near=0.8).collect()}
+    assert set(near) == {(i, 0) for i in [*range(15), *range(40, 70)]} and tables["runs"].count() == len(chain) + 30
+    assert len({c for c, _ in found.values()}) == 1 and all(near[k] == c for k, (c, _) in found.items())
+
+
+def test_codes_of_a_line_like_its_words():
+    rng = random.Random(64)
+    parts = ["a", "É", "e\u0301", "\u0301", "\u00ad", "\u200b", "&eacute;", "&nbsp;", "&#10;", "&shy;", "&", "_", "'", " ", " ", " ", "\u00a0", "\u2028", "\x1c", "\r", "1", "½", "Ⅳ", "ß", "ŉ", "ﬁ", "İ", "ǅ"]
+    parts += ["mai", "Mai", " jan ", "sept", "SEPT", "er", "3mai", "12", "A", "BC", "d", "中文", "ก้", "´", "٣", " 3 ", "."]
+    for _ in range(5000):
+        line = "".join(rng.choices(parts, k=rng.randrange(1, 40)))
+        out, low = repeated._words(repeated._clean(line))
+        codes = [repeated.xxhash.xxh3_64_intdigest(w) for w in repeated.masked(out, low)] if low else []
+        assert repeated.line_codes(line) == (repeated.form(line), codes), repr(line)
+
+
 def test_components_of_few_and_of_many_links(spark):
     rng = random.Random(61)
     pairs = {(f"s{rng.randrange(3)}", rng.randrange(60), rng.randrange(60)) for _ in range(110)} | {("chain", k, k + 1) for k in range(40)}
